@@ -1,8 +1,10 @@
 """Queries of this subpackage, one for each operator, with oracle SQL where SQL can express it."""
 
-from keyloom.llm import quality_rules
+from keyloom.llm import byte_bpe, license_scan, quality_rules
 
 QUERIES = {
+    "op3_byte_bpe": byte_bpe.query,
+    "op4_license_scan": license_scan.query,
     "op10_quality_rules": quality_rules.query,
 }
 
