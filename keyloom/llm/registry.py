@@ -1,11 +1,14 @@
 """Queries of this subpackage, one for each operator, with oracle SQL where SQL can express it."""
 
-from keyloom.llm import byte_bpe, license_scan, quality_rules
+from keyloom.llm import byte_bpe, license_scan, quality_rules, secret_scan
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.query,
     "op4_license_scan": license_scan.query,
+    "op7_secret_scan": secret_scan.query,
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_secret_scan": secret_scan.ORACLE_SQL,
+}
