@@ -1,16 +1,18 @@
 """Queries of this subpackage, one for each operator, with oracle SQL where SQL can express it."""
 
-from keyloom.llm import byte_bpe, chat_format, license_scan, quality_rules, secret_scan
+from keyloom.llm import byte_bpe, chat_format, license_scan, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.query,
     "op4_license_scan": license_scan.query,
     "op5_chat_format": chat_format.query,
     "op7_secret_scan": secret_scan.query,
+    "op8_warc": warc.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat_format.ORACLE_SQL,
     "op7_secret_scan": secret_scan.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
