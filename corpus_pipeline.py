@@ -38,7 +38,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source with token_ids, n_tokens and a digest of what the ids decode to."""
+    """doc_id, lang, source with token_ids, n_tokens and the digest of what the ids decode to."""
     out = byte_bpe.byte_bpe(docs, byte_bpe.vocabulary(), keep=[c for c in ("doc_id", "lang", "source") if c in docs.columns])
     return out.drop("token_ends")
 

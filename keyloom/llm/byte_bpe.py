@@ -231,7 +231,7 @@ def decode(ids, path: str) -> bytes:
     return b"".join(map(merger(path).vocabulary.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
 
 
-ADDED = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("token_ends", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType())])
+ADDED = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("token_ends", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
@@ -241,7 +241,8 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def byte_bpe(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df (or its columns in keep) with token_ids, token_ends (byte offsets into the text) and n_tokens.
+    """df (or its columns in keep) with token_ids, token_ends (byte offsets into the text), n_tokens and
+    decoded_sha256, the digest of the bytes that the ids decode to.
 
     path is a vocabulary of base64 tokens and ranks that every executor can open. An input column named
     like an output is replaced.
@@ -249,7 +250,7 @@ def byte_bpe(df: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def kernel(texts: pa.Array) -> list:
         ids, _, stops = encode(texts, path)
-        return [_lists(ids, pa.int32()), _lists(stops, pa.int64()), pa.array([len(i) for i in ids], pa.int64())]
+        return [_lists(ids, pa.int32()), _lists(stops, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(decode(i, path)).hexdigest() for i in ids], pa.string())]
 
     return with_arrow_columns(df, text, ADDED, kernel, keep)
 
