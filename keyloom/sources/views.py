@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: An auction stays open this long after its order date.
 OPEN_DAYS = 730
+# The hot channels and the address of every bid.
+HOT_CHANNELS = ("Apple", "Google", "Facebook", "Baidu")
+URL = "https://www.example.com/a/b/c/item.htm?query=1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,14 +55,27 @@ def bid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bid_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, auction, bidder, price, channel, dateTime, extra."""
+    """event_id, auction, bidder, price, channel, url, dateTime, extra: bids read off the event stream.
+
+    Half of the bids use one of four hot channels; nine in ten of the others' urls name a channel id.
+    """
     e = table(spark, sf_dir, "events")
+    hot = F.element_at(F.array(*[F.lit(c) for c in HOT_CHANNELS]), (F.expr("event_id div 2") % 4 + 1).cast("int"))
+    number = F.col("event_id") % 1000
     return e.select(
         "event_id",
         (F.col("event_id") % 100).alias("auction"),
         F.col("user_id").alias("bidder"),
         F.round(F.col("value") * 100).cast("bigint").alias("price"),
-        F.col("event_type").alias("channel"),
+        F.when(F.col("event_id") % 2 == 0, hot).otherwise(F.concat(F.lit("channel-"), number.cast("string"))).alias("channel"),
+        F.concat(F.lit(URL), F.when((F.col("event_id") % 2 == 1) & (F.col("event_id") % 20 != 1), F.concat(F.lit("&channel_id="), number.cast("string"))).otherwise("")).alias("url"),
         F.col("ts").alias("dateTime"),
         F.col("props").alias("extra"),
     )
+
+
+def people_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name, dateTime: customers, taken to have come 20 days before their first order."""
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.min("o_orderdate") - F.expr("INTERVAL 20 DAYS")).alias("dateTime"))
+    customer = table(spark, sf_dir, "customer")
+    return customer.join(first, customer.c_custkey == first.o_custkey).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "dateTime")
