@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from keyloom.plans import auctions
+from keyloom.plans import applications, auctions
+
+PLANS = (auctions, applications)
 
 
 def queries() -> dict:
-    return dict(auctions.QUERIES)
+    return {n: f for p in PLANS for n, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(auctions.ORACLE_SQL)
+    return {n: s for p in PLANS for n, s in p.ORACLE_SQL.items()}
