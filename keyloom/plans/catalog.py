@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keyloom.plans import applications, auctions
+from keyloom.plans import applications, auctions, patterns
 
-PLANS = (auctions, applications)
+PLANS = (auctions, applications, patterns)
 
 
 def queries() -> dict:
