@@ -6,10 +6,12 @@
    fixed order. The order here puts rare histogram bins first, so passages that many texts share hardly ever
    are among them. Shingles that only one node puts first go; of shingles with the same nodes one stays.
 3. The nodes of one shingle are joined by signature trees: a tree node holds the OR of its rows' shingle
-   bitmaps, their size range and range of components. Two trees are walked together from the top; a pair of
-   nodes is dropped when sizes, the largest possible overlap or a common component rule every row pair out.
-4. Row pairs that the leaves let through are verified on the whole sets. A first round takes one partner for
-   each row, to join most copies; the second one every pair whose components still differ, so no link is lost.
+   bitmaps and their size range. Two trees are walked together from the top; a pair of nodes is dropped when
+   sizes or the largest possible overlap rule every row pair out. What the leaves let through connects nodes
+   into clusters, of which each shingle reports only who belongs together.
+4. All similar pairs lie inside clusters. A cluster's whole sets meet once (in pairs of blocks if it is
+   large), its own trees are walked, and row pairs not yet connected are verified on the whole sets. So no
+   pair of different sets is lost, and output grows with the documents, not with the pairs of a group.
 
 Hashes are 64-bit: two different shingles count as equal with a chance of about 2**-64 a pair.
 
@@ -129,8 +131,11 @@ def prefixes(texts: DataFrame, histogram: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "token long, node long")
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(node, n, bits): set size and shingle bitmap, of the power of two that is at least twice the size."""
+def signatures(texts: DataFrame, whole: bool = False) -> DataFrame:
+    """(node, n, bits): set size and shingle bitmap, of the power of two that is at least twice the size.
+
+    whole: also hashes, the set itself as bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,48 +147,37 @@ def signatures(texts: DataFrame) -> DataFrame:
                     flags = np.zeros(size, bool)
                     flags[(hashes[a:b] & np.uint64(size - 1)).astype(np.int64)] = True
                     bits.append(np.packbits(flags, bitorder="little").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(bits, pa.binary())], names=["node", "n", "bits"])
-
-    return texts.mapInArrow(run, "node long, n long, bits binary")
-
-
-def whole_sets(texts: DataFrame) -> DataFrame:
-    """(node, hashes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, bounds = sets_of(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["node", "hashes"])
+                columns = {"node": part.column(0), "n": pa.array(np.diff(bounds)), "bits": pa.array(bits, pa.binary())}
+                if whole:
+                    columns["hashes"] = pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return texts.mapInArrow(run, "node long, hashes array<long>")
+    return texts.mapInArrow(run, "node long, n long, bits binary" + ", hashes binary" * whole)
 
 
 class Tree:
-    """A signature tree over rows that are in order: levels of OR-ed bitmaps and ranges, leaves first."""
+    """A signature tree over rows that are in order: levels of OR-ed bitmaps and size ranges, leaves first."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(self, bits: np.ndarray, n: np.ndarray):
         excess = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        # bitmap, smallest and largest size, most shingles beyond the set bits, smallest and largest component
-        self.levels = [(bits, n, n, excess, comp, comp)]
+        # bitmap, smallest and largest size, most shingles beyond the set bits
+        self.levels = [(bits, n, n, excess)]
         width = LEAF
         while len(self.levels[-1][1]) > 1:
-            b, low, high, over, cl, ch = self.levels[-1]
+            b, low, high, over = self.levels[-1]
             at = np.arange(0, len(low), width)
-            cut = lambda f, x: f.reduceat(x, at)  # noqa: E731, B023
-            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), cut(np.minimum, low), cut(np.maximum, high), cut(np.maximum, over), cut(np.minimum, cl), cut(np.maximum, ch)))
+            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(over, at)))
             width = FANOUT
 
-    def level(self, k: int):
+    def level(self, k: int) -> tuple:
         return self.levels[min(k, len(self.levels) - 1)]
 
 
 def possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, rows: bool) -> np.ndarray:
-    """Whether node pairs (i of a, j of b) may hold a similar row pair of different components."""
-    bits, low, high, over, cl, ch = a
-    bits2, low2, high2, over2, cl2, ch2 = b
+    """Whether node pairs (i of a, j of b) may hold a similar row pair."""
+    bits, low, high, over = a
+    bits2, low2, high2, over2 = b
     ok = (UNION_PARTS * high[i] >= LEAST_PARTS * low2[j]) & (UNION_PARTS * high2[j] >= LEAST_PARTS * low[i])
-    ok &= ~((cl[i] == ch[i]) & (cl2[j] == ch2[j]) & (cl[i] == cl2[j]))
     at = np.flatnonzero(ok)
     i, j = i[at], j[at]
     need = -(-LEAST_PARTS * (low[i] + low2[j]) // (UNION_PARTS + LEAST_PARTS))
@@ -208,7 +202,7 @@ def walk(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             continue
         ok = possible(a.level(k), b.level(k), i, j, k == 0)
         if same and k == 0:
-            ok &= i != j
+            ok &= i != j  # a row isn't its own partner
         i, j = i[ok], j[ok]
         if not len(i):
             continue
@@ -235,8 +229,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Node pairs of one shingle that may be similar. Rows of sides 0 and 1 meet only across; 2 is one block.
+def candidates(n: np.ndarray, bits: list[bytes], side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs that may be similar. Rows of sides 0 and 1 meet only across; 2 is one block.
 
     Similar sizes differ by less than a factor of two, so bitmaps meet at their own size or at the next.
     """
@@ -247,9 +241,9 @@ def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byt
         key = (words, fold, of)
         if key not in trees:
             at = np.flatnonzero((size == words) & (side == of))
-            at = at[np.lexsort((node[at], n[at], comp[at]))]
+            at = at[np.argsort(n[at], kind="stable")]
             rows = np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), words) if len(at) else None
-            trees[key] = None if rows is None else (Tree(folded(rows, fold), n[at], comp[at]), at)
+            trees[key] = None if rows is None else (Tree(folded(rows, fold), n[at]), at)
         return trees[key]
 
     for words in np.unique(size).tolist():
@@ -260,32 +254,70 @@ def candidates(node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byt
                     yield a[1][i], b[1][j]
 
 
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-
-def tree_join(rows: DataFrame, forest: bool) -> DataFrame:
-    """(a, b) pairs with a < b from rows (token, block_a, block_b, side, node, n, comp, bits).
-
-    forest: for each row its first possible partner only, at most one pair a row.
-    """
-    keys = ["token", "block_a", "block_b"]
+def connect(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the rows of pairs (i, j) are joined: each set's label is its smallest."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def clustered(n: np.ndarray, bits: list[bytes], side: np.ndarray) -> np.ndarray:
+    """Labels of rows connected by pairs that may be similar."""
+    label = np.arange(len(n))
+    for i, j in candidates(n, bits, side):
+        label = connect(label, i, j)
+    return label
+
+
+def exactly_linked(n: np.ndarray, bits: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Labels of rows connected by similar pairs; a pair that is connected already needs no verification."""
+    label = np.arange(len(n))
+    words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    marked = np.zeros(len(words), bool)
+    for left, right in candidates(n, bits, side):
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        at = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(left)], strict=True):
+            i = left[a]
+            j = np.unique(right[a:b][label[right[a:b]] != label[i]])
+            if not len(j):
+                continue
+            own = inverse[ends[i] - n[i] : ends[i]]
+            marked[own] = True
+            sizes = n[j]
+            cut = np.cumsum(sizes) - sizes
+            common = np.add.reduceat(marked[inverse[np.repeat(ends[j] - sizes - cut, sizes) + np.arange(sizes.sum())]], cut, dtype=np.int64)
+            marked[own] = False
+            similar = j[UNION_PARTS * common >= LEAST_PARTS * (n[i] + sizes - common)]
+            if len(similar):
+                label = connect(label, np.full(len(similar), i), similar)
+    return label
+
+
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def tree_join(rows: DataFrame, exact: bool) -> DataFrame:
+    """(a, b) links that connect what belongs together, at most one a row, from rows (key, block_a, block_b,
+    side, node, n, bits) and, if exact, hashes. Rows stream in by key, so a task holds one block pair."""
+    keys = ["key", "block_a", "block_b"]
 
     def joined(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         columns = list(zip(*group, strict=True))
-        node, n, comp, side = (np.array(columns[k], np.int64) for k in (4, 5, 6, 3))
-        found = list(candidates(node, n, comp, columns[7], side))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        if forest:
-            rank = np.empty(len(node), np.int64)
-            rank[np.lexsort((node, n))] = np.arange(len(node))
-            last = np.where(rank[i] > rank[j], i, j)
-            first = np.where(rank[i] > rank[j], j, i)
-            order = np.lexsort((rank[first], last))
-            _, at = np.unique(last[order], return_index=True)
-            i, j = last[order][at], first[order][at]
-        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        side, node, n = (np.array(columns[k], np.int64) for k in (3, 4, 5))
+        label = exactly_linked(n, columns[6], side, [np.frombuffer(h, np.int64) for h in columns[7]]) if exact else clustered(n, columns[6], side)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return node[at], node[label[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -296,40 +328,26 @@ def tree_join(rows: DataFrame, forest: bool) -> DataFrame:
                     out.append(joined(group))
                     group = []
                 group.append(row)
-            yield _pairs(out)
+            yield _links(out)
         if group:
-            yield _pairs([joined(group)])
+            yield _links([joined(group)])
 
-    def _pairs(found: list) -> pa.RecordBatch:
+    def _links(found: list) -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=PAIRS.names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
 
-    ready = rows.select(*keys, "side", "node", "n", "comp", "bits").repartition(*keys).sortWithinPartitions(*keys)
-    return ready.mapInArrow(run, PAIRS).where("a <> b").distinct()
+    ready = rows.select(*keys, "side", "node", "n", "bits", *(["hashes"] if exact else [])).repartition(*keys).sortWithinPartitions(*keys)
+    return ready.mapInArrow(run, LINKS)
 
 
-def blocks(rows: DataFrame, within: bool) -> DataFrame:
-    """rows (with cnt, the nodes of their token) under the block pairs they belong to; within: own block only."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """rows (with cnt, the rows of their key) under each pair of blocks they belong to: one for small keys."""
     many = F.ceil(F.col("cnt") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node"), many.cast("long")).cast("int")
-    if within:
-        return rows.withColumns({"block_a": own, "block_b": own, "side": F.lit(2)})
-    dealt = rows.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), many - 1)))
+    dealt = rows.withColumn("__own", F.pmod(F.xxhash64("node"), many.cast("long")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), many - 1)))
     side: Column = F.when(F.col("__own") == F.col("__other"), 2).when(F.col("__own") < F.col("__other"), 0).otherwise(1)
     return dealt.withColumns({"block_a": F.least("__own", "__other"), "block_b": F.greatest("__own", "__other"), "side": side})
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    pairs = written(pairs, "pairs")
-    nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
-    sets = whole_sets(by_node(docs, nodes))
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("both"), common.alias("common"))
-    return written(sized.where(UNION_PARTS * F.col("common") >= LEAST_PARTS * (F.col("both") - F.col("common"))).select("a", "b"), "similar")
-
-
 def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -347,19 +365,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     kept = written(shared.join(distinct, "token", "left_semi").select("token", "node", "cnt"), "kept")
     signed = written(signatures(by_node(docs, kept.select("node").distinct())), "signatures")
 
-    rows = kept.join(signed, "node")
-    links = verified(tree_join(blocks(rows.withColumn("comp", F.col("node")), True), True), docs)
-    labels = components(links)
-    label = F.coalesce("component", F.col("node"))
-    rows = kept.join(labels, "node", "left").select("token", "node", "cnt", label.alias("comp"))
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rest = rows.join(open_, "token", "left_semi").join(signed, "node")
-    links = links.unionByName(verified(tree_join(blocks(rest, False), False), docs))
+    rows = kept.join(signed.select("node", "n", "bits"), "node").withColumnRenamed("token", "key")
+    clusters = components(tree_join(blocks(rows), False)).withColumnRenamed("component", "key")
+    sizes = clusters.groupBy("key").agg(F.count("*").alias("cnt"))
+    clusters = written(clusters.join(sizes, "key"), "clusters")
+    whole = signatures(by_node(docs, clusters.select("node")), True)
+    links = written(tree_join(blocks(clusters.join(whole, "node")), True), "similar")
 
     # Rows of one doc_id are one document: its sets are linked to each other.
     twice = sets_by_id(members, sets)
-    labels = components(links.unionByName(twice)) if twice is not None else components(links)
-    named = sets.join(labels, "node", "left").select("f1", "f2", "n_shingles", label.alias("component_id"))
+    labels = components(links if twice is None else links.unionByName(twice))
+    named = sets.join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = members.join(named, ["f1", "f2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

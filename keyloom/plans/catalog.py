@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from keyloom.plans import applications, auctions, patterns
+from keyloom.streaming import queries as streams
 
-PLANS = (auctions, applications, patterns)
+PLANS = (auctions, applications, patterns, streams)
 
 
 def queries() -> dict:
