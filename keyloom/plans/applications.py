@@ -25,7 +25,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ROWS = "SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) % 1000 + 1 AS metric, event_id % 97 AS aux, event_id % 8 AS category, event_id AS sequence, 0 AS branch FROM events"
+ROWS = "SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) % 1000 + 1 AS metric, event_id % 97 AS aux, event_id % 8 AS category, event_id AS sequence, CAST(0 AS BIGINT) AS branch FROM events"
 
 
 class Spark:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.scalars import count_char, regexp_extract_or_null, split_index
 from keyloom.operators import windows as win
 from keyloom.sources import views
+from keyloom.sources.generators import side_input
 
 RATE = Decimal("0.908")
 HOP, SLIDE, TUMBLE, GAP, NEWCOMERS = "10 hours", "2 hours", "10 hours", "6 hours", "30 days"
@@ -41,40 +42,40 @@ def discounted() -> Column:
     return (F.lit(RATE) * F.col("price")).cast("decimal(23,3)")
 
 
-def q0(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q0(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Pass-through projection."""
     return views.bid_ev(spark, sf_dir).select("auction", "bidder", "price", F.col("dateTime").alias("dt"), "extra")
 
 
-def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q1(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Currency conversion with exact decimals."""
     return views.bid_ev(spark, sf_dir).select("auction", "bidder", discounted().alias("price"), F.col("dateTime").alias("dt"), "extra")
 
 
-def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q2(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids of every 123rd auction."""
     return views.bid(spark, sf_dir).where(F.col("auction") % 123 == 0).select("auction", "price")
 
 
-def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q3(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Sellers of three places with auctions of one category; both filters reach the scans."""
     a = views.auction(spark, sf_dir).where("category = 10").alias("a")
     p = views.person(spark, sf_dir).where(F.col("state").isin(*STATES)).alias("p")
     return a.join(p, F.col("a.seller") == F.col("p.id")).select("p.name", "p.city", "p.state", F.col("a.id").alias("id"))
 
 
-def _bids_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bids_in_time(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     a, b = views.auction(spark, sf_dir).alias("a"), views.bid(spark, sf_dir).alias("b")
     return win.interval_join(a, b, F.col("a.id") == F.col("b.auction"), F.col("b.dateTime"), F.col("a.dateTime"), F.col("a.expires"))
 
 
-def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q4(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Average closing price by category."""
     closing = _bids_in_time(spark, sf_dir).groupBy("a.id", "a.category").agg(F.max("b.price").alias("final"))
     return closing.groupBy("category").agg(F.expr("sum(final) div count(final)").alias("avg_price"))
 
 
-def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q5(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Hottest auctions of each sliding window, ties kept.
 
     The maximum is a window function over counts that are few by then, not a self-join of the counts.
@@ -83,12 +84,12 @@ def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("best", F.max("num").over(Window.partitionBy("starttime"))).where("num >= best").drop("best")
 
 
-def q5_steady(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q5_steady(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Every auction's count in each sliding window."""
     return win.hop(views.bid_ev(spark, sf_dir), "dateTime", HOP, SLIDE, "auction").agg(F.count("*").alias("num"))
 
 
-def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q6(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Average price of a seller's last eleven closed auctions, at each of them."""
     best = win.top_n(
         _bids_in_time(spark, sf_dir).select("a.id", "a.seller", "b.price", F.col("b.dateTime").alias("dt"), "b.bidder"), 1, ["id"], F.desc("price"), F.asc("dt"), F.asc("bidder")
@@ -97,55 +98,50 @@ def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("seller", "id", F.sum("price").over(w).alias("s"), F.count("price").over(w).alias("n")).select("seller", "id", F.expr("s div n").alias("avg_price"))
 
 
-def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q7(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Highest bids of each tumbling window."""
     b = views.bid_ev(spark, sf_dir).withColumn("w", F.window("dateTime", TUMBLE))
     top = b.groupBy("w").agg(F.max("price").alias("best"))
     return b.join(top, "w").where("price = best").select("auction", "price", "bidder", F.col("dateTime").alias("dt"), "extra")
 
 
-def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q8(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """People who opened an auction in the window in which they came."""
     p = win.tumble(views.people_since(spark, sf_dir), "dateTime", NEWCOMERS, "id", "name").agg(F.count("*").alias("n")).drop("n")
     a = win.tumble(views.auction(spark, sf_dir), "dateTime", NEWCOMERS, "seller").agg(F.count("*").alias("n")).select("seller", F.col("starttime").alias("s"))
     return p.join(a, (p.id == a.seller) & (p.starttime == a.s)).select("id", "name", "starttime")
 
 
-def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q9(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """The winning bid of every auction."""
     rows = _bids_in_time(spark, sf_dir).select("a.id", "a.category", "a.seller", "a.initialBid", "a.expires", "b.auction", "b.bidder", "b.price", F.col("b.dateTime").alias("dt"))
     return win.top_n(rows, 1, ["id"], F.desc("price"), F.asc("dt"), F.asc("bidder")).drop("rank_number")
 
 
-def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q10(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids with the day and minute that partition their log (keyloom.sources.sinks writes it)."""
     return views.bid_ev(spark, sf_dir).select(
         "auction", "bidder", "price", F.col("dateTime").alias("at"), "extra", F.date_format("dateTime", "yyyy-MM-dd").alias("dt"), F.date_format("dateTime", "HH:mm").alias("hm")
     )
 
 
-def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q11(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids per bidder and session."""
     return win.session(views.bid_ev(spark, sf_dir), "dateTime", GAP, "bidder").agg(F.count("*").alias("bid_count"))
 
 
-def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q12(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids per bidder and tumbling window; the time column stands in for the processing clock."""
     return win.tumble(views.bid_ev(spark, sf_dir), "dateTime", TUMBLE, "bidder").agg(F.count("*").alias("bid_count"))
 
 
-def side_input(spark: SparkSession, n: int = 10_000) -> DataFrame:
-    """key, value: n rows i, i."""
-    return spark.range(n).select(F.col("id").alias("key"), F.col("id").cast("string").alias("value"))
-
-
-def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q13(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Lookup join with a side table of fixed size."""
     b, s = views.bid(spark, sf_dir), side_input(spark)
     return b.join(F.broadcast(s), b.auction % 10_000 == s.key).select("auction", "bidder", "price", F.col("dateTime").alias("dt"), "value")
 
 
-def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q14(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids of a price range with the time of day and a count of one letter."""
     hour = F.hour("dateTime")
     kind = F.when((hour >= 8) & (hour <= 18), "dayTime").when((hour <= 6) | (hour >= 20), "nightTime").otherwise("otherTime")
@@ -156,52 +152,56 @@ def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOW, HIGH = 1000, 10_000
 
 
+def bands() -> dict[str, Column]:
+    """Price bands by name."""
+    price = F.col("price")
+    return {"total": F.lit(True), "rank1": price < LOW, "rank2": (price >= LOW) & (price < HIGH), "rank3": price >= HIGH}
+
+
 def _ranks() -> list[Column]:
-    bands = {"total": F.lit(True), "rank1": F.col("price") < LOW, "rank2": (F.col("price") >= LOW) & (F.col("price") < HIGH), "rank3": F.col("price") >= HIGH}
-    out = [F.count_if(cond).alias(f"{name}_bids") for name, cond in bands.items()]
+    out = [F.count_if(cond).alias(f"{name}_bids") for name, cond in bands().items()]
     for what, column in (("bidders", "bidder"), ("auctions", "auction")):
-        out += [F.count_distinct(F.when(cond, F.col(column))).alias(f"{name}_{what}") for name, cond in bands.items()]
+        out += [F.count_distinct(F.when(cond, F.col(column))).alias(f"{name}_{what}") for name, cond in bands().items()]
     return out
 
 
-def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q15(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids, bidders and auctions of a day by price band."""
     return views.bid_ev(spark, sf_dir).groupBy(F.date_format("dateTime", "yyyy-MM-dd").alias("day")).agg(*_ranks())
 
 
-def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q16(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """The same by channel and day, with the day's last minute."""
     return views.bid_ev(spark, sf_dir).groupBy("channel", F.date_format("dateTime", "yyyy-MM-dd").alias("day")).agg(F.max(F.date_format("dateTime", "HH:mm")).alias("minute"), *_ranks())
 
 
-def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q17(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Prices of an auction by day."""
-    bands = _ranks()[:4]
     return (
         views.bid_ev(spark, sf_dir)
         .groupBy("auction", F.date_format("dateTime", "yyyy-MM-dd").alias("day"))
-        .agg(*bands, F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.expr("sum(price) div count(price)").alias("avg_price"), F.sum("price").alias("sum_price"))
+        .agg(*_ranks()[:4], F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.expr("sum(price) div count(price)").alias("avg_price"), F.sum("price").alias("sum_price"))
     )
 
 
-def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q18(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """A bidder's last bid on an auction; max_by combines before the shuffle, where a ranking would sort all rows."""
     last = views.bid_ev(spark, sf_dir).groupBy("bidder", "auction").agg(F.max_by(F.struct("price", "channel", "dateTime", "extra"), F.struct("dateTime", "event_id")).alias("last"))
     return last.select("auction", "bidder", "last.price", "last.channel", F.col("last.dateTime").alias("dt"), "last.extra")
 
 
-def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q19(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """The ten highest bids of an auction with their rank."""
     return win.top_n(views.bid_ev(spark, sf_dir), 10, ["auction"], F.desc("price"), F.asc("event_id")).select("auction", "bidder", "price", F.col("dateTime").alias("dt"), "rank_number")
 
 
-def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q20(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Bids with their auctions of one category."""
     a, b = views.auction(spark, sf_dir).where("category = 10").alias("a"), views.bid(spark, sf_dir).alias("b")
     return b.join(a, F.col("b.auction") == F.col("a.id")).select("b.auction", "b.bidder", "b.price", F.col("b.dateTime").alias("dt"), "a.seller", "a.category", "a.expires")
 
 
-def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q21(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Channel ids: fixed for hot channels, else read off the url."""
     named = F.lower("channel")
     found = regexp_extract_or_null(F.col("url"), CHANNEL_ID, 2)
@@ -209,7 +209,7 @@ def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.bid_ev(spark, sf_dir).select("auction", "bidder", "price", "channel", F.coalesce(known, found).alias("channel_id")).where(F.col("channel_id").isNotNull())
 
 
-def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q22(spark: SparkSession, sf_dir: views.Tables) -> DataFrame:
     """Directories of the url."""
     return views.bid_ev(spark, sf_dir).select("auction", "bidder", "price", "channel", *[split_index(F.col("url"), "/", k).alias(f"dir{k - 2}") for k in (3, 4, 5)])
 

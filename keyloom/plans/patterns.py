@@ -75,13 +75,18 @@ def _query(name: str):
 
 QUERIES = {n: _query(n) for n in PATTERNS}
 _BIDS = 'SELECT user_id AS bidder, ts AS t, event_id, CAST(round(value * 100) AS BIGINT) AS price FROM events'
-# Only the drop pattern is short in SQL: matches start anywhere, so skipping past each needs recursion.
-ORACLE_SQL = {
-    "cep_q3": f"""
+
+
+def drops_sql(starts: str = "true") -> str:
+    """The drop pattern in SQL; starts: which rows (a) a match may start at. Only this pattern is short in SQL:
+    matches start anywhere, so skipping past each needs recursion."""
+    return f"""
 WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY bidder ORDER BY t, event_id) AS k FROM ({_BIDS})),
 m AS (SELECT a.bidder, a.k AS s, min(c.k) AS e FROM b a JOIN b c ON a.bidder = c.bidder AND c.k > a.k AND c.t - a.t < INTERVAL 10 HOURS AND c.price <= a.price - {DROP} GROUP BY 1, 2),
-ok AS (SELECT m.bidder, s, e, c.t AS drop_time, a.price - c.price AS drop_diff FROM m JOIN b c ON c.bidder = m.bidder AND c.k = m.e JOIN b a ON a.bidder = m.bidder AND a.k = m.s WHERE c.price < a.price - {DROP}),
+ok AS (SELECT m.bidder, s, e, c.t AS drop_time, a.price - c.price AS drop_diff FROM m JOIN b c ON c.bidder = m.bidder AND c.k = m.e JOIN b a ON a.bidder = m.bidder AND a.k = m.s WHERE c.price < a.price - {DROP} AND {starts}),
 r AS (SELECT bidder, CAST(0 AS BIGINT) AS e, CAST(NULL AS TIMESTAMP) AS drop_time, CAST(NULL AS BIGINT) AS drop_diff FROM (SELECT DISTINCT bidder FROM b)
  UNION ALL SELECT n.bidder, n.e, n.drop_time, n.drop_diff FROM r, LATERAL (SELECT ok.bidder, ok.e, ok.drop_time, ok.drop_diff FROM ok WHERE ok.bidder = r.bidder AND ok.s > r.e ORDER BY ok.s LIMIT 1) n)
 SELECT bidder, drop_time, drop_diff FROM r WHERE e > 0"""
-}
+
+
+ORACLE_SQL = {"cep_q3": drops_sql()}

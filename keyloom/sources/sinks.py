@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,3 +50,16 @@ def drained(stream: DataFrame, mode: str = "update") -> DataFrame:
     query = stream_to_files(stream, path, work_dir(spark, "stream-checkpoint"), mode)
     query.awaitTermination()
     return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(path)
+
+
+def measured(df: DataFrame) -> dict[str, float]:
+    """Run df for nothing but its work and tell its rows, seconds and rows a second."""
+    seen, began = Observation(), time.perf_counter()
+    discard(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    seconds = time.perf_counter() - began
+    return {"rows": seen.get["rows"], "seconds": seconds, "rows_per_second": seen.get["rows"] / seconds}
+
+
+def write_log_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The partitioned log of a stream for now available data; the file sink's own log makes each batch count once."""
+    return stream.writeStream.format("csv").partitionBy("dt", "hm").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,9 +6,13 @@ Only the columns asked for are read: every view is a plain projection over a Par
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where tables come from: a folder of Parquet files, or what opens a table by name (as a stream, say).
+Tables = str | Callable[[SparkSession, str], DataFrame]
 #: An auction stays open this long after its order date.
 OPEN_DAYS = 730
 # The hot channels and the address of every bid.
@@ -16,11 +20,11 @@ HOT_CHANNELS = ("Apple", "Google", "Facebook", "Baidu")
 URL = "https://www.example.com/a/b/c/item.htm?query=1"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: Tables, name: str) -> DataFrame:
+    return sf_dir(spark, name) if callable(sf_dir) else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def person(spark: SparkSession, sf_dir: str) -> DataFrame:
+def person(spark: SparkSession, sf_dir: Tables) -> DataFrame:
     """id, name, city, state, extra."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -29,7 +33,7 @@ def person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.join(places, customer.c_nationkey == places.n_nationkey).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "city", "state", F.col("c_mktsegment").alias("extra"))
 
 
-def auction(spark: SparkSession, sf_dir: str) -> DataFrame:
+def auction(spark: SparkSession, sf_dir: Tables) -> DataFrame:
     """id, seller, category, dateTime, expires, initialBid."""
     o = table(spark, sf_dir, "orders")
     return o.select(
@@ -42,7 +46,7 @@ def auction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bid(spark: SparkSession, sf_dir: Tables) -> DataFrame:
     """auction, bidder, price (cents), channel, dateTime."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
@@ -54,7 +58,7 @@ def bid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bid_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bid_ev(spark: SparkSession, sf_dir: Tables) -> DataFrame:
     """event_id, auction, bidder, price, channel, url, dateTime, extra: bids read off the event stream.
 
     Half of the bids use one of four hot channels; nine in ten of the others' urls name a channel id.
@@ -74,7 +78,7 @@ def bid_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def people_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+def people_since(spark: SparkSession, sf_dir: Tables) -> DataFrame:
     """id, name, dateTime: customers, taken to have come 20 days before their first order."""
     first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.min("o_orderdate") - F.expr("INTERVAL 20 DAYS")).alias("dateTime"))
     customer = table(spark, sf_dir, "customer")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from keyloom.operators.patterns import Pattern, match_at
 from keyloom.streaming.state import Map, Value
 
+EPOCH = datetime(1970, 1, 1)
+
 
 class RunningCount(StatefulProcessor):
     """(key, sequence, running count) for every row of a key, in order of sequence within a batch."""
@@ -125,6 +129,96 @@ class Idle(StatefulProcessor):
         pass
 
 
+class Winner(StatefulProcessor):
+    """The best row of a key (highest price, then earliest dt, then smallest bidder), emitted when it changes."""
+
+    ORDER = ["price", "dt", "bidder"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "price long, dt long, bidder long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        place = lambda price, dt, bidder: (-price, dt, bidder)
+        was = tuple(self.best.get()) if self.best.exists() else None
+        top = None
+        for part in rows:
+            first = part.sort_values(self.ORDER, ascending=[False, True, True]).head(1)
+            now = tuple(int(first[c].iloc[0]) for c in self.ORDER)
+            if was is None or place(*now) < place(*was):
+                was, top = now, first
+        if top is not None:
+            self.best.update(was)
+            yield top[["id", "category", "seller", "initialBid", "expires", "bidder", "price", "dt"]]
+
+    def close(self) -> None:
+        pass
+
+
+class Touch(StatefulProcessor):
+    """Reads and writes a value of SIZE bytes for every row, which passes through."""
+
+    SIZE = 100
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = Value(handle, "value", "binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for _ in range(len(part)):
+                self.value.get()
+                self.value.update(bytes(self.SIZE))
+            yield pd.DataFrame({"key": key[0], "sequence": part["sequence"]})
+
+    def close(self) -> None:
+        pass
+
+
+class Drops(StatefulProcessor):
+    """Matches a time-bounded pattern over a key's rows (micros, event_id, price) in order of event time.
+
+    Rows wait in a list until the watermark has passed the longest match that may start at them; a timer
+    comes back for them. What a match skips over goes, so the list holds one match's span of time.
+    """
+
+    def __init__(self, pattern: Pattern):
+        self.pattern = pattern
+        self.within = pattern.within // timedelta(microseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "micros long, event_id long, price long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.rows.appendList([tuple(map(int, r)) for r in zip(part["micros"], part["event_id"], part["price"], strict=True)])
+        return self._ready(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._ready(key, timerValues.getCurrentWatermarkInMs())
+
+    def _ready(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held = sorted(tuple(r) for r in self.rows.get())
+        rows = [{"dateTime": EPOCH + timedelta(microseconds=m), "price": p} for m, _, p in held]
+        at, found = 0, []
+        while at < len(held) and held[at][0] + self.within <= watermark_ms * 1000:
+            got = match_at(rows, at, self.pattern, "dateTime")
+            if got is not None:
+                found.append(self.pattern.measures(got[0]))
+            at = got[2] if got is not None else at + 1
+        left = held[at:]
+        if at:
+            self.rows.put(left) if left else self.rows.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left:
+            self.handle.registerTimer((left[0][0] + self.within) // 1000 + 1)
+        if found:
+            yield pd.DataFrame({"bidder": key[0], "micros": [(t - EPOCH) // timedelta(microseconds=1) for t, _ in found], "drop_diff": [d for _, d in found]})
+
+    def close(self) -> None:
+        pass
+
+
 def processed(df: DataFrame, key: str, processor: Callable[[], StatefulProcessor], schema: str, mode: str = "update", time_mode: str = "None") -> DataFrame:
     """df's rows through a processor per key. State lives in RocksDB, so it may outgrow memory."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

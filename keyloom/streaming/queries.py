@@ -5,15 +5,20 @@ What is compared with the batch oracle is the final state: for outputs in update
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.plans import auctions
+from keyloom.plans import auctions, patterns
 from keyloom.sources import views
-from keyloom.sources.sinks import drained
+from keyloom.sources.generators import side_input
+from keyloom.sources.sinks import drained, work_dir
 from keyloom.streaming import processors as P
 
-DELAY = "4 seconds"
+DELAY, CACHE = "4 seconds", "20 MINUTES"
+#: The event-time column of each streamed table.
+TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +28,21 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return raw.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in schema])
 
 
+def streamed(sf_dir: str, static: tuple[str, ...] = ("nation", "region")) -> views.Tables:
+    """Tables for a plan: streams, with the suite's watermark where they have event time; static ones are read whole."""
+
+    def opened(spark: SparkSession, name: str) -> DataFrame:
+        if name in static:
+            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = stream(spark, sf_dir, name)
+        return rows.withWatermark(TIMES[name], DELAY) if name in TIMES else rows
+
+    return opened
+
+
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream as bids, with the suite's watermark."""
-    e = stream(spark, sf_dir, "events")
-    return e.select(
-        "event_id", (F.col("event_id") % 100).alias("auction"), F.col("user_id").alias("bidder"), F.round(F.col("value") * 100).cast("bigint").alias("price"), F.col("ts").alias("dateTime"), F.col("props").alias("extra")
-    ).withWatermark("dateTime", DELAY)
+    """The event stream as bids."""
+    return views.bid_ev(spark, streamed(sf_dir))
 
 
 def last_of(rows: DataFrame, *keys: str) -> DataFrame:
@@ -37,52 +51,98 @@ def last_of(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*keys, "__r.*")
 
 
-def naive(df: DataFrame, *times: str) -> DataFrame:
-    return df.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
+def naive(df: DataFrame) -> DataFrame:
+    """df with its timestamps as the batch tables have them, without a time zone."""
+    return df.select(*[F.col(n).cast("timestamp_ntz").alias(n) if kind == "timestamp" else F.col(n) for n, kind in df.dtypes])
+
+
+def appended(plan: Callable[[SparkSession, views.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The twin of a batch plan that streams as it is: the same plan over streamed tables, drained."""
+
+    def twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return naive(drained(plan(spark, streamed(sf_dir)), "append").drop("batch"))
+
+    twin.__doc__ = plan.__doc__
+    return twin
+
+
+def updated(plan: Callable[[SparkSession, views.Tables], DataFrame], *keys: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The same for plans that end in an aggregate: the last state of every key."""
+
+    def twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return naive(last_of(drained(plan(spark, streamed(sf_dir))), *keys))
+
+    twin.__doc__ = plan.__doc__
+    return twin
+
+
+def s_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hottest auctions of each closed sliding window: counts, their maximum by window, joined on the window."""
+    counts = lambda: bids(spark, sf_dir).groupBy(F.window("dateTime", auctions.HOP, auctions.SLIDE), "auction").agg(F.count("*").alias("num"))
+    best = counts().groupBy("window").agg(F.max("num").alias("best")).withColumnRenamed("window", "w")
+    rows = counts().join(best, F.col("window") == F.col("w")).where("num >= best")
+    return naive(drained(rows.select("auction", F.col("window.start").alias("starttime"), F.col("window.end").alias("endtime"), "num"), "append").drop("batch"))
+
 
+def s_q7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest bids of each closed tumbling window: the stream joined with its windows' maxima on price and time."""
+    b = bids(spark, sf_dir)
+    top = bids(spark, sf_dir).groupBy(F.window("dateTime", auctions.TUMBLE).alias("w")).agg(F.max("price").alias("best"))
+    rows = b.join(top, (b.price == top.best) & (b.dateTime >= top.w.start) & (b.dateTime < top.w.end))
+    return naive(drained(rows.select("auction", "price", "bidder", F.col("dateTime").alias("dt"), "extra"), "append").drop("batch"))
 
-def s_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bids(spark, sf_dir).select("auction", "bidder", auctions.discounted().alias("price"), F.col("dateTime").alias("dt"), "extra")
-    return naive(drained(rows, "append").drop("batch"), "dt")
 
+def s_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People who opened an auction in the window in which they came: two windowed streams joined."""
+    path = work_dir(spark, "people")
+    views.people_since(spark, sf_dir).withColumn("dateTime", F.col("dateTime").cast("timestamp")).write.parquet(path)
+    people = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withWatermark("dateTime", DELAY)
+    p = people.groupBy(F.window("dateTime", auctions.NEWCOMERS).alias("w"), "id", "name").agg(F.count("*").alias("n"))
+    a = views.auction(spark, streamed(sf_dir)).groupBy(F.window("dateTime", auctions.NEWCOMERS).alias("v"), "seller").agg(F.count("*").alias("m"))
+    rows = p.join(a, (p.id == a.seller) & (p.w == a.v))
+    return naive(drained(rows.select("id", "name", F.col("w.start").alias("starttime")), "append").drop("batch"))
 
-def s_q5_steady(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.window("dateTime", auctions.HOP, auctions.SLIDE)
-    counts = bids(spark, sf_dir).groupBy(w.alias("w"), "auction").agg(F.count("*").alias("num")).select("auction", F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), "num")
-    return naive(last_of(drained(counts), "auction", "starttime", "endtime"), "starttime", "endtime")
 
+def s_q9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winning bid of every auction: interval join of two streams, then the best bid as keyed state."""
+    tables = streamed(sf_dir)
+    a, b = views.auction(spark, tables).alias("a"), views.bid(spark, tables).alias("b")
+    rows = a.join(b, F.expr("a.id = b.auction AND b.dateTime BETWEEN a.dateTime AND a.expires"))
+    rows = rows.select("a.id", "a.category", "a.seller", "a.initialBid", F.unix_micros("a.expires").alias("expires"), "b.bidder", "b.price", F.unix_micros("b.dateTime").alias("dt"))
+    out = P.processed(rows, "id", P.Winner, "id long, category long, seller long, initialBid long, expires long, bidder long, price long, dt long", "append")
+    last = last_of(drained(out, "append"), "id")
+    time = lambda c: F.timestamp_micros(F.col(c)).alias(c)
+    return naive(last.select("id", "category", "seller", "initialBid", time("expires"), F.col("id").alias("auction"), "bidder", "price", time("dt")))
 
-def s_q12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.window("dateTime", auctions.TUMBLE)
-    counts = bids(spark, sf_dir).groupBy(w.alias("w"), "bidder").agg(F.count("*").alias("bid_count")).select("bidder", F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), "bid_count")
-    return naive(last_of(drained(counts), "bidder", "starttime", "endtime"), "starttime", "endtime")
 
+def _ranks_by_sets() -> list[Column]:
+    """The price bands' counts where a stream has no exact distinct count: sizes of sets."""
+    distinct = lambda cond, column: F.size(F.collect_set(F.when(cond, F.col(column)))).cast("bigint")
+    return [F.count_if(cond).alias(f"{n}_bids") for n, cond in auctions.bands().items()] + [distinct(cond, x).alias(f"{n}_{what}") for what, x in (("bidders", "bidder"), ("auctions", "auction")) for n, cond in auctions.bands().items()]
 
-def s_q11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that the final watermark has closed."""
-    w = F.session_window("dateTime", auctions.GAP)
-    counts = bids(spark, sf_dir).groupBy(w.alias("w"), "bidder").agg(F.count("*").alias("bid_count")).select("bidder", F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), "bid_count")
-    return naive(drained(counts, "append").drop("batch"), "starttime", "endtime")
+
+def _q15(spark: SparkSession, tables: views.Tables) -> DataFrame:
+    """Bids, bidders and auctions of a day by price band."""
+    return views.bid_ev(spark, tables).groupBy(F.date_format("dateTime", "yyyy-MM-dd").alias("day")).agg(*_ranks_by_sets())
+
+
+def _q16(spark: SparkSession, tables: views.Tables) -> DataFrame:
+    """The same by channel and day, with the day's last minute."""
+    return views.bid_ev(spark, tables).groupBy("channel", F.date_format("dateTime", "yyyy-MM-dd").alias("day")).agg(F.max(F.date_format("dateTime", "HH:mm")).alias("minute"), *_ranks_by_sets())
 
 
 def s_q13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream-static lookup join."""
-    b, side = bids(spark, sf_dir), auctions.side_input(spark)
+    b, side = bids(spark, sf_dir), side_input(spark)
     rows = b.join(F.broadcast(side), b.auction == side.key).select("auction", "bidder", "price", F.col("dateTime").alias("dt"), "value")
-    return naive(drained(rows, "append").drop("batch"), "dt")
-
-
-def s_q17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bids(spark, sf_dir).groupBy("auction", F.date_format("dateTime", "yyyy-MM-dd").alias("day"))
-    out = rows.agg(*auctions._ranks()[:4], F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.expr("sum(price) div count(price)").alias("avg_price"), F.sum("price").alias("sum_price"))
-    return last_of(drained(out), "auction", "day")
+    return naive(drained(rows, "append").drop("batch"))
 
 
 def s_q18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last bid of a bidder on an auction by max_by, which streams where a ranking does not."""
     last = bids(spark, sf_dir).groupBy("bidder", "auction").agg(F.max_by(F.struct("price", "dateTime", "extra"), F.struct("dateTime", "event_id")).alias("last"))
     rows = drained(last.select("bidder", "auction", "last.price", F.col("last.dateTime").alias("dt"), "last.extra"))
-    return naive(last_of(rows, "bidder", "auction"), "dt")
+    return naive(last_of(rows, "bidder", "auction"))
 
 
 def s_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +154,28 @@ def s_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join of two streams, then the average of the auctions' maxima by a stateful processor."""
-    a = stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (10 + F.col("o_orderkey") % 5).alias("category"), F.col("o_orderdate").alias("opened"), (F.col("o_orderdate") + F.expr(f"INTERVAL {views.OPEN_DAYS} DAYS")).alias("expires"))
-    b = stream(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("auction"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"), F.col("l_shipdate").alias("dt"))
-    rows = a.withWatermark("opened", DELAY).join(b.withWatermark("dt", DELAY), F.expr("id = auction AND dt >= opened AND dt <= expires"))
+    tables = streamed(sf_dir)
+    a, b = views.auction(spark, tables).alias("a"), views.bid(spark, tables).alias("b")
+    rows = a.join(b, F.expr("a.id = b.auction AND b.dateTime BETWEEN a.dateTime AND a.expires"))
     out = P.processed(rows.select("category", F.col("id").alias("item"), F.col("price").alias("value")), "category", P.AverageOfMaxima, "key long, average long, items long", "append")
     last = last_of(drained(out, "append"), "key")
     return last.select(F.col("key").alias("category"), F.col("average").alias("avg_price"))
 
 
+def s_cep_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sudden drops of a bidder's prices, by a processor that matches rows once event time has passed them."""
+    pattern, _ = patterns.PATTERNS["cep_q3"]
+    rows = bids(spark, sf_dir).select("bidder", F.unix_micros("dateTime").alias("micros"), "event_id", "price")
+    out = P.processed(rows, "bidder", lambda: P.Drops(pattern), "bidder long, micros long, drop_diff long", "append", "EventTime")
+    return naive(drained(out, "append").select("bidder", F.timestamp_micros("micros").alias("drop_time"), "drop_diff"))
+
+
+def s_stateful_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value read and written again for every event; keys pass through."""
+    e = stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("sequence"))
+    return drained(P.processed(e, "user_id", P.Touch, "key long, sequence long", "append"), "append").drop("batch")
+
+
 def s_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running count per user for every event."""
     e = stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("sequence"))
@@ -121,6 +195,25 @@ def s_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(P.processed(b, "user_id", P.Idle, "key long, last long", "append", "EventTime"), "append").drop("batch")
 
 
+def _two_sided(e: DataFrame) -> DataFrame:
+    """Events of even numbers and, within twenty minutes before or after, odd ones of the same user; an event
+    that comes twice counts once."""
+    key = F.col("user_id")
+    left = e.where("event_id % 2 = 0").select(key.alias("user"), F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts"))
+    right = e.where("event_id % 2 = 1").select(key.alias("right_user"), F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts"))
+    if e.isStreaming:
+        left, right = left.dropDuplicatesWithinWatermark(["left_id"]), right.dropDuplicatesWithinWatermark(["right_id"])
+    else:
+        left, right = left.dropDuplicates(["left_id"]), right.dropDuplicates(["right_id"])
+    near = F.expr(f"user = right_user AND right_ts >= left_ts - INTERVAL {CACHE} AND right_ts <= left_ts + INTERVAL {CACHE}")
+    return left.join(right, near).select("user", "left_id", "right_id")
+
+
+def client_join(spark: SparkSession, tables: views.Tables) -> DataFrame:
+    """Two streams joined by key within the time that either side is cached."""
+    return _two_sided(views.table(spark, tables, "events"))
+
+
 def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding counts of words (event types): 5 hours every 12 minutes, 25 windows a row."""
     e = views.table(spark, sf_dir, "events")
@@ -134,20 +227,40 @@ def running_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select(F.col("event_type").alias("word"), "event_id", F.count("*").over(w).alias("running"))
 
 
-QUERIES = {f"stream_{f.__name__[2:]}": f for f in (s_q1, s_q4, s_q5_steady, s_q11, s_q12, s_q13, s_q17, s_q18, s_q19, s_running_count, s_two_sides, s_idle)} | {"word_windows": word_windows, "running_words": running_words}
+STREAMED = ("q0", "q1", "q2", "q3", "q10", "q14", "q20", "q21", "q22")
+OWN = (s_q4, s_q5, s_q7, s_q8, s_q9, s_q13, s_q18, s_q19, s_cep_q3, s_running_count, s_two_sides, s_idle, s_stateful_map)
+QUERIES = {
+    **{f"stream_{n}": appended(getattr(auctions, n)) for n in STREAMED},
+    "stream_q5_steady": updated(auctions.q5_steady, "auction", "starttime", "endtime"),
+    "stream_q11": appended(auctions.q11),
+    "stream_q12": updated(auctions.q12, "bidder", "starttime", "endtime"),
+    "stream_q15": updated(_q15, "day"),
+    "stream_q16": updated(_q16, "channel", "day"),
+    "stream_q17": updated(auctions.q17, "auction", "day"),
+    **{f"stream_{f.__name__[2:]}": f for f in OWN},
+    "stream_client_join": appended(client_join),
+    "client_join": client_join,
+    "word_windows": word_windows,
+    "running_words": running_words,
+}
+_NEAR = f"SELECT a.user_id AS user, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND b.ts BETWEEN a.ts - INTERVAL {CACHE} AND a.ts + INTERVAL {CACHE}"
+_CLOSED = "(SELECT max(ts) - INTERVAL 4 SECONDS FROM events)"
 _BE = auctions.BID_EV
 ORACLE_SQL = {
-    "stream_q1": auctions.ORACLE_SQL["q1"],
-    "stream_q4": auctions.ORACLE_SQL["q4"],
-    "stream_q5_steady": auctions.ORACLE_SQL["q5_steady"],
-    "stream_q12": auctions.ORACLE_SQL["q12"],
-    "stream_q11": f"SELECT * FROM ({auctions.ORACLE_SQL['q11']}) WHERE endtime <= (SELECT max(ts) - INTERVAL 4 SECONDS FROM events)",
+    **{f"stream_{n}": auctions.ORACLE_SQL[n] for n in (*STREAMED, "q4", "q5_steady", "q9", "q12", "q15", "q16", "q17")},
+    "stream_q5": f"SELECT * FROM ({auctions.ORACLE_SQL['q5']}) WHERE endtime <= {_CLOSED}",
+    "stream_q7": f"SELECT * FROM ({auctions.ORACLE_SQL['q7']}) WHERE time_bucket(INTERVAL 10 HOURS, dt, {auctions.EPOCH}) + INTERVAL 10 HOURS <= {_CLOSED}",
+    "stream_q8": f"SELECT * FROM ({auctions.ORACLE_SQL['q8']}) WHERE starttime + INTERVAL 30 DAYS <= (SELECT least(max(o_orderdate), (SELECT max(f) FROM (SELECT min(o_orderdate) - INTERVAL 20 DAYS AS f FROM orders GROUP BY o_custkey))) - INTERVAL 4 SECONDS FROM orders)",
+    "stream_q11": f"SELECT * FROM ({auctions.ORACLE_SQL['q11']}) WHERE endtime <= {_CLOSED}",
     "stream_q13": f"SELECT auction, bidder, price, dt, CAST(auction AS VARCHAR) AS value FROM {_BE}",
-    "stream_q17": auctions.ORACLE_SQL["q17"],
     "stream_q18": f"SELECT bidder, auction, price, dt, extra FROM {_BE} QUALIFY row_number() OVER (PARTITION BY bidder, auction ORDER BY dt DESC, event_id DESC) = 1",
     "stream_q19": f"SELECT auction, event_id, price, row_number() OVER (PARTITION BY auction ORDER BY price DESC, event_id) AS rank_number FROM {_BE} QUALIFY rank_number <= 10",
+    "client_join": _NEAR,
+    "stream_client_join": _NEAR,
     "stream_running_count": "SELECT user_id AS key, event_id AS sequence, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events",
-    "stream_idle": "SELECT user_id AS key, max(epoch_ms(ts)) AS last FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 4 SECONDS FROM events)",
+    "stream_cep_q3": patterns.drops_sql(f"a.t + INTERVAL 10 HOURS <= {_CLOSED}"),
+    "stream_stateful_map": "SELECT user_id AS key, event_id AS sequence FROM events",
+    "stream_idle": f"SELECT user_id AS key, max(epoch_us(ts)) // 1000 AS last FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 6 HOURS <= {_CLOSED}",
     "word_windows": f"SELECT word, s AS starttime, s + INTERVAL 5 HOURS AS endtime, count(*) AS n FROM (SELECT event_type AS word, time_bucket(INTERVAL 12 MINUTES, ts, {auctions.EPOCH}) - to_minutes(12 * k) AS s FROM events, (SELECT unnest(range(25)) AS k)) GROUP BY word, s",
     "running_words": "SELECT event_type AS word, event_id, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS running FROM events",
 }
