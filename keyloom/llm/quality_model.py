@@ -159,7 +159,7 @@ def trained(x: np.ndarray, y: np.ndarray, hold: np.ndarray) -> Network:
     """A network fitted with Adam on the rows not in hold, calibrated on those in hold."""
     x, y = x.astype(np.float64), y.astype(np.float64)
     fit = ~hold if (~hold).any() and 0 < y[~hold].mean() < 1 else np.ones(len(y), bool)
-    mean, scale = x[fit].mean(0), x[fit].std(0) + 1e-3
+    mean, scale = (x[fit].mean(0), x[fit].std(0) + 1e-3) if len(y) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     share = y.mean() if len(y) else 0.5
     rng = np.random.default_rng(7)
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
