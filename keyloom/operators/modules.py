@@ -28,6 +28,10 @@ class Module:
     then: dict[str, str] = field(default_factory=dict)
     key: str = "key"
 
+    @property
+    def stateless(self) -> bool:
+        return not (self.sums or self.previous or self.then)
+
     def apply(self, df: DataFrame, wrap: bool = False) -> DataFrame:
         """wrap: for inputs of any size, whose sums wrap around as 64-bit numbers."""
         rows = running(df, self.sums, self.previous, wrap=wrap) if self.sums or self.previous else df

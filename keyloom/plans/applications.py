@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.operators import recurrent as rec
 from keyloom.operators.modules import MODULES, rekeyed, rekeyed_sql, union, union_sql
 from keyloom.sources import views
+from keyloom.sources.sinks import kept
 
 KEYS, BATCH, SHARDS = 1000, 16, 4096
 
@@ -29,19 +30,41 @@ ROWS = "SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) % 1000 + 1 AS
 
 
 class Spark:
-    """Builds an application's graph as a DataFrame."""
+    """Builds an application's graph as a DataFrame.
+
+    A running total reads its input twice. So rows that come out of one and go into another are written in
+    between: along a chain of n operators they would otherwise be computed 2**n times.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def _from(self, out: DataFrame, *sources: DataFrame) -> DataFrame:
+        """out, known to be made by an operator if a source is."""
+        if any(s is m for s in sources for m in self.made):
+            self.made.append(out)
+        return out
 
     def op(self, name: str, x: DataFrame, wrap: bool = False) -> DataFrame:
-        return MODULES[name].apply(x, wrap)
+        module = MODULES[name]
+        if not module.stateless and any(x is m for m in self.made):
+            x = kept(x, f"rows-{name}")
+        out = module.apply(x, wrap)
+        if module.stateless:
+            return self._from(out, x)
+        self.made.append(out)
+        return out
 
     def map(self, x: DataFrame, **columns: str) -> DataFrame:
-        return rekeyed(x, **{k: v.replace("//", "div") for k, v in columns.items()})
+        return self._from(rekeyed(x, **{k: v.replace("//", "div") for k, v in columns.items()}), x)
 
     def union(self, *x: DataFrame) -> DataFrame:
-        return union(*x)
+        return self._from(union(*x), *x)
 
     def step(self, x: DataFrame, step) -> DataFrame:
-        return rec.keyed(x, step)
+        out = rec.keyed(x, step)
+        self.made.append(out)
+        return out
 
 
 class Sql:

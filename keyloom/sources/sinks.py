@@ -21,6 +21,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: what is built on it neither computes it again nor
+    depends on executors that held it."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_log(df: DataFrame, path: str) -> None:
     """A CSV log partitioned by dt and hm; a _SUCCESS file tells that it is complete."""
     df.write.partitionBy("dt", "hm").mode("append").csv(path)
