@@ -33,7 +33,7 @@ SAMPLE = 20_000
 VOCABULARY, WIDTH, NONZERO, WINDOW = 1 << 14, 48, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
-#: Partitions of the sample, each of which sends one table of word vectors.
+#: Partitions of the sample.
 SAMPLE_PARTS = 8
 
 
@@ -80,13 +80,22 @@ def contexts(texts: DataFrame) -> np.ndarray:
                         rows, at = np.unique(here, return_index=True)
                         if len(rows):
                             total[rows] += np.add.reduceat(vectors, at, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["total"])
+        touched = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array([r.tobytes() for r in total[touched].astype(np.int32)], pa.binary())], names=["row", "sum"])
 
-    rows = texts.select("text").mapInArrow(run, "total binary").collect()  # SAMPLE_PARTS tables
-    total = np.zeros((VOCABULARY, WIDTH), np.float64)
-    for row in rows:
-        total += np.frombuffer(row[0], np.float32).reshape(VOCABULARY, WIDTH)
-    return word_vectors(total)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((VOCABULARY, WIDTH), np.int64)
+        for batch in batches:
+            np.add.at(total, batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, WIDTH))
+        touched = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array([r.tobytes() for r in total[touched]], pa.binary())], names=["row", "sum"])
+
+    # Tables of any number of tasks are added up row by row; the driver gets each of VOCABULARY rows once.
+    schema = "row int, sum binary"
+    total = np.zeros((VOCABULARY, WIDTH), np.int64)
+    for row, values in texts.select("text").mapInArrow(run, schema).repartition(SAMPLE_PARTS, "row").mapInArrow(summed, schema).collect():
+        total[row] = np.frombuffer(values, np.int64)
+    return word_vectors(total.astype(np.float64))
 
 
 def word_vectors(total: np.ndarray) -> np.ndarray:
