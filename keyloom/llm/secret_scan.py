@@ -75,6 +75,7 @@ def blob_id(text: Column) -> Column:
 def scan_unseen(versions: DataFrame, text: str, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, rule_versions, spans) for the pairs of blob and rule version not in ledger.
 
+    In the ledger a span's rank is its rule's place in the row's rule_versions, whatever rules there are later.
     Copies meet in one row by a first() that is combined before the shuffle. Empty texts aren't blobs.
     """
     texts = versions.select(F.col(text).alias("__text")).where("__text != ''").withColumn("blob", blob_id(F.col("__text")))
@@ -87,7 +88,13 @@ def scan_unseen(versions: DataFrame, text: str, ledger: DataFrame | None, rules:
         todo = F.array_except(wanted, F.coalesce("__seen", F.array().cast("array<string>")))
         blobs = blobs.join(seen, "blob", "left").select("blob", "__text", todo.alias("rule_versions")).where(F.size("rule_versions") > 0)
     found = [F.when(F.array_contains("rule_versions", r.version), rule_spans(F.col("__text"), r, k)).otherwise(F.array().cast(f"array<{SPAN}>")) for k, r in enumerate(rules)]
-    return blobs.select("blob", "rule_versions", F.concat(*found).alias("spans"))
+    place = lambda x: F.array_position("rule_versions", F.element_at(wanted, x["rank"] + 1))
+    return blobs.select("blob", "rule_versions", F.transform(F.concat(*found), lambda x: ranked(x, place(x))).alias("spans"))
+
+
+def ranked(span: Column, place: Column) -> Column:
+    """span with the rank of a place counted from 1."""
+    return F.struct(span["start"].alias("start"), (place - 1).cast("int").alias("rank"), span["end"].alias("end")).cast(SPAN)
 
 
 def updated_ledger(versions: DataFrame, text: str, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -109,7 +116,10 @@ def updated_ledger(versions: DataFrame, text: str, path: str, rules: tuple[Rule,
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, spans): all spans of the rules' present versions, by start and then rule; blobs without any left out."""
-    rows = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    present = F.array(*[F.lit(r.version) for r in rules])
+    version = lambda x: F.element_at("rule_versions", x["rank"] + 1)
+    spans = F.transform(F.filter("spans", lambda x: F.array_contains(present, version(x))), lambda x: ranked(x, F.array_position(present, version(x))))
+    rows = ledger.where(F.size("spans") > 0).select("blob", spans.alias("spans")).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return rows.where(F.size("spans") > 0)
 
 

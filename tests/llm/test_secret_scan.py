@@ -73,6 +73,17 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert sum(len(r.spans) for r in rows) == 3
 
 
+def test_changed_and_reordered_rules(spark, tmp_path):
+    """What only an old version of a rule found is no finding any more; ranks follow the rules of the day."""
+    path = f"file://{tmp_path}/ledger"
+    old = spark.createDataFrame([("a", "token=abcdefgh1 " + "0f" * 20 + " pin 1234")], "path string, text string")
+    pin = S.Rule("pin", r"pin [0-9]+")
+    S.secret_scan(old, ledger=path, rules=(S.RULES[0], pin, S.RULES[2]))
+    stricter = S.Rule("pin", r"pin [0-9]{6,}")
+    row = S.secret_scan(old, ledger=path, rules=(S.RULES[2], stricter, S.RULES[0])).first()
+    assert [tuple(x) for x in row.spans] == [(0, 2, 15), (16, 0, 56)]
+
+
 def test_redaction(spark):
     rows = [("a token=abcdefgh1 b",), ("xx",), (None,), ("password=" + "0f" * 20 + " end",)]
     df = S.secret_scan(spark.createDataFrame(rows, "text string"))
