@@ -4,7 +4,8 @@
    fingerprint) are one node from then on. The same pass counts shingles in a fixed-size histogram.
 2. Two sets with a Jaccard of t or more share one of the n - ceil(t*n) + 1 shingles that come first in any
    fixed order. The order here puts rare histogram bins first, so passages that many texts share hardly ever
-   are among them. Shingles that only one node puts first go; of shingles with the same nodes one stays.
+   are among them. Shingles that only one node puts first go; of shingles with the same nodes one stays. A
+   node counts once for a shingle, however many rows its doc_id has.
 3. The nodes of one shingle are joined by signature trees: a tree node holds the OR of its rows' shingle
    bitmaps and their size range. Two trees are walked together from the top; a pair of nodes is dropped when
    sizes or the largest possible overlap rule every row pair out. What the leaves let through connects nodes
@@ -16,8 +17,8 @@
 Hashes are 64-bit: two different shingles count as equal with a chance of about 2**-64 a pair.
 
 Defined results: null and empty texts have no shingles and are their own component. Rows that share a
-doc_id are one document: its component is that of any of them, the smallest. Null doc_ids stay null
-components unless a linked row has an id.
+doc_id are one document: its component is that of any of them, the smallest. Rows without a doc_id link
+like all others, under a number made from their text; components of such rows alone are null.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def prefix_lengths(n: np.ndarray) -> np.ndarray:
 
 
 MEMBERS = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("unnamed", T.BooleanType()), T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())]
 )
 
 
@@ -78,12 +79,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[bounds]).view(np.int64)  # noqa: E731, B023
                 k = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(bounds)), pa.array(total(hashes)), pa.array(total(W.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=MEMBERS.names
+                    [part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(total(hashes)), pa.array(total(W.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=MEMBERS.names
                 )
         for block, counts in enumerate(histogram.reshape(BLOCKS, -1)):
             if counts.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=MEMBERS.names)
+                yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.bool_()), none, none, none, pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=MEMBERS.names)
 
     return docs.mapInArrow(run, MEMBERS)
 
@@ -320,17 +321,18 @@ def tree_join(rows: DataFrame, exact: bool) -> DataFrame:
         return node[at], node[label[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        group: dict[tuple, None] = {}  # equal rows of a repeated document are one
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    out.append(joined(group))
-                    group = []
-                group.append(row)
+                if group and row[:3] != at:
+                    out.append(joined(list(group)))
+                    group = {}
+                at = row[:3]
+                group[row] = None
             yield _links(out)
         if group:
-            yield _links([joined(group)])
+            yield _links([joined(list(group))])
 
     def _links(found: list) -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -350,16 +352,19 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    unnamed = F.col("doc_id").isNull()
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("unnamed"), "text")).alias("doc_id"), "text", unnamed.alias("unnamed"))
     first = written(fingerprints(docs), "members")
-    members = first.where("block IS NULL").select("doc_id", "n_shingles", "f1", "f2")
+    members = first.where("block IS NULL").select("doc_id", "unnamed", "n_shingles", "f1", "f2")
     histogram = summed(first.where("block IS NOT NULL").select("block", "counts"))
     sets = members.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
     sets = written(sets, "sets")
-    nodes = sets.where("node IS NOT NULL").select("node").distinct()
+    nodes = sets.select("node").distinct()
 
     token = F.expr("count(*) OVER (PARTITION BY token)"), F.expr("bit_xor(xxhash64(node)) OVER (PARTITION BY token)"), F.expr("bit_xor(xxhash64(node, 1)) OVER (PARTITION BY token)")
-    shared = prefixes(by_node(docs, nodes), histogram).select("token", "node", *[c.alias(n) for c, n in zip(token, ("cnt", "x1", "x2"), strict=True)]).where("cnt > 1")
+    again = F.expr("coalesce(lag(node) OVER (PARTITION BY token ORDER BY node) = node, false)")
+    firsts = prefixes(by_node(docs, nodes), histogram).select("token", "node", again.alias("again")).where("NOT again")
+    shared = firsts.select("token", "node", *[c.alias(n) for c, n in zip(token, ("cnt", "x1", "x2"), strict=True)]).where("cnt > 1")
     shared = written(shared, "shared")
     distinct = shared.groupBy("x1", "x2", "cnt").agg(F.min("token").alias("token")).select("token")
     kept = written(shared.join(distinct, "token", "left_semi").select("token", "node", "cnt"), "kept")
@@ -376,13 +381,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     twice = sets_by_id(members, sets)
     labels = components(links if twice is None else links.unionByName(twice))
     named = sets.join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    out = members.join(named, ["f1", "f2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = members.join(named, ["f1", "f2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if members.where("unnamed").isEmpty():
+        return out.select("doc_id", "n_shingles", "component_id")
+    # A component's name is the smallest doc_id proper in it.
+    names = out.where("NOT unnamed").groupBy("component_id").agg(F.min("doc_id").alias("name"))
+    return out.join(names, "component_id", "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
 
 
 def sets_by_id(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links between the sets of doc_ids that have several; None if there is no such id."""
-    several = members.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("low"), F.max(F.struct("f1", "f2")).alias("high")).where("low <> high").select("doc_id")
+    several = members.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("low"), F.max(F.struct("f1", "f2")).alias("high")).where("low <> high").select("doc_id")
     several = written(several, "several")
     if several.isEmpty():
         return None

@@ -89,6 +89,25 @@ def test_awkward_rows(spark, texts, awkward):
     assert {r.component_id for r in rows if r.doc_id == 5} == {5}
 
 
+def test_every_row_twice(spark):
+    """Repeated rows change no component: a node counts once for a shingle."""
+    rows = variants(4, 12, 14)
+    df = spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(3)
+    got = J.similar_components(df).collect()
+    assert len(got) == 2 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert len(set(got)) == len(rows)
+
+
+def test_rows_without_id_link(spark):
+    """A row without doc_id is the only link of 8 and 9, and lone ones have no component."""
+    words = [f"n{i}" for i in range(60)]
+    near = [" ".join(words[:44]), " ".join(words[:50]), " ".join(words[:56])]
+    alone = [" ".join(f"m{i}" for i in range(40 + k)) for k in (0, 1)]
+    df = spark.createDataFrame([(9, near[0]), (None, near[1]), (8, near[2]), (None, alone[0]), (None, alone[1]), (None, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in J.similar_components(df).collect()), key=str)
+    assert got == sorted([(9, 40, 8), (None, 46, 8), (8, 52, 8), (None, 36, None), (None, 37, None), (None, 0, None)], key=str)
+
+
 def test_empty_tables(spark, no_docs):
     assert J.similar_components(no_docs).count() == 0
     none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
