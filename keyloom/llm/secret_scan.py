@@ -5,7 +5,9 @@ seen which blob and what they found; only unseen pairs are scanned, each distinc
 are joined back to all paths that hold the blob.
 
 Defined results: a null text counts as empty (and is no secret); repeated rows are paths of their own with
-equal findings; an empty table gives an empty one. Offsets are code points, ends exclusive.
+equal findings; an empty table gives an empty one. Offsets are code points, ends exclusive. A private key
+is found from its BEGIN line to its END line whatever prefixes, header fields or escaped line ends its lines
+have; where END is missing or damaged, to its last run of base64, with a short line right after it.
 """
 
 from __future__ import annotations
@@ -34,12 +36,21 @@ class Rule:
         return f"{self.kind}@{hashlib.sha256(f'{self.pattern}|{self.group}|{self.least}'.encode()).hexdigest()[:12]}"
 
 
+# The parts of a private key, in the syntax common to Java, Python and RE2. Nothing repeats a group without
+# a bound, since Java's matcher takes stack for each round: isolated dashes before END (header fields, lines of a diff).
+_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_TO_END = r"[^-]*(?:-[^-]+){0,400}-?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_BETWEEN = r"""\x09-\x0D\x20\\"',>#*|"""
+_FIELDS = rf"(?:[{_BETWEEN}]*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n]*[\r\n]){{0,20}}"
+_BODY = rf"[{_BETWEEN}]*[A-Za-z0-9+/=]{{16,}}(?:[{_BETWEEN}A-Za-z0-9+/=]*[A-Za-z0-9+/=]{{24,}})?"
+_LAST = r"(?:[\x09\x20]*(?:\r?\n|\\n)[\x09\x20>#*]*[A-Za-z0-9+/]+={0,2})?(?:[\x09\x20]*(?:\r?\n|\\n)[\x09\x20>#*]*=[A-Za-z0-9+/]{4})?"
+
 # The rules, base ones first; their order breaks ties.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", f"{_BEGIN}(?:{_TO_END}|{_FIELDS}{_BODY}{_LAST})?"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

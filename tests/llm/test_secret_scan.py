@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from keyloom.llm import secret_scan as S
@@ -91,6 +94,49 @@ def test_redaction(spark):
     assert got == {"a token=abcdefgh1 b": "a [SECRET] b", "xx": "xx", None: None, "password=" + "0f" * 20 + " end": "[SECRET] end"}
 
 
+def key_lines(seed: int, lines: int) -> list[str]:
+    raw = random.Random(seed).randbytes(48 * lines - 20)
+    body = base64.b64encode(raw).decode()
+    return [body[i : i + 64] for i in range(0, len(body), 64)]
+
+
+def test_private_keys_are_found_whole(spark):
+    """No part of a key survives redaction, and what stands around it does; all three engines find the same spans."""
+    keys = [key_lines(k, n) for k, n in enumerate((3, 26, 52, 200))]
+    begin, end, done = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "[SECRET]"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F0F\n\n"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2.0-x\n\n"
+    want = {}
+    for k, lines in enumerate(keys):
+        body = "\n".join(lines)
+        want |= {
+            f"a{k} {begin}\n{body}\n{end} z.": f"a{k} {done} z.",
+            f"b{k} {begin}\r\n" + "\r\n".join(lines) + f"\r\n{end}\r\nz": f"b{k} {done}\r\nz",
+            f"c{k} {begin}\n{fields}{body}\n{end}\nz": f"c{k} {done}\nz",
+            f"d{k} {{'k': '{begin}\\n" + "\\n".join(lines) + f"\\n{end}\\n'}} z": f"d{k} {{'k': '{done}\\n'}} z",
+            f"e{k} > {begin}\n> " + "\n> ".join(lines) + f"\n> {end}\nz": f"e{k} > {done}\nz",
+            f"f{k} -{begin}\n-" + "\n-".join(lines) + f"\n-{end}\nz": f"f{k} -{done}\nz",
+            f"g{k} {begin} " + " ".join(lines) + f" {end} z": f"g{k} {done} z",
+            f"h{k} {pgp}{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----\nz": f"h{k} {done}\nz",
+            # END is missing, or damaged
+            f"i{k} {begin}\n{body}": f"i{k} {done}",
+            f"j{k} {begin}\n{body}\n\nThe rest is prose.": f"j{k} {done}\n\nThe rest is prose.",
+            f"k{k} {begin}\n{fields}{body}\n----END, z": f"k{k} {done}\n----END, z",
+            f"l{k} {begin}\n{body}\n\n{begin}\n{body}\n{end}\nz": f"l{k} {done}\n\n{done}\nz",
+        }
+    want[f"m {begin} is how such a file begins, {begin} too."] = f"m {done} is how such a file begins, {done} too."
+    # Long texts take no deep stack.
+    want[f"n {begin}\n" + "a - b, c: d\n" * 50_000] = f"n {done}\n" + "a - b, c: d\n" * 50_000
+    want[f"o {begin}\n" + (keys[3][0] + "\n") * 20_000 + "\nz"] = f"o {done}\n\nz"
+    df = S.secret_scan(spark.createDataFrame([(t,) for t in want], "text string"))
+    rows = df.select("text", "spans", S.redacted(F.col("text"), F.col("spans")).alias("out")).collect()
+    assert {r.text[:2]: (r.out, [tuple(s) for s in r.spans]) for r in rows if r.out != want[r.text]} == {}
+    pattern = S.RULES[3].pattern
+    for r in rows:
+        assert [tuple(s) for s in r.spans] == brute_all(r.text)
+        assert duckdb.execute("SELECT regexp_extract_all(?, ?, 0)", [r.text, pattern]).fetchone()[0] == [m[0] for m in re.finditer(pattern, r.text, re.A)]
+
+
 def test_native_plan(documents):
     plan = S.secret_scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "ExistingRDD"))
