@@ -2,18 +2,19 @@
 
 Every page becomes a tree of its block elements (siblings of one label are one repeating node) and a list of
 text blocks at those nodes. Trees of one host's pages are aligned one after another by simple tree matching
-into a template that counts, per node, which texts recur: tasks align what they read, and the partial
-templates of a host are aligned again as they stream through one task. Nodes whose text stays constant over
-a host's pages are template; varying slots are content, unless they lie in furniture (menus, adverts,
-forms, comments and the like, told by element and class).
+into a template that counts the pages of every node: tasks align what they read, and the partial templates
+of a host are aligned again as they stream through one task. The pages of every text at a node are counted
+exactly, by a groupBy over what tasks have added up. Texts that stay constant over the pages of their node
+are template; varying slots are content, unless they lie in furniture (menus, adverts, forms, comments and
+the like, told by element and class).
 
-Inside an article or main element only texts that at least SUPPORT different pages and CONSTANT of all the
-host's pages share are template; outside, where a page has such an element, nothing is content.
+Only texts that at least SUPPORT different pages and CONSTANT of all the host's pages with that node share
+are template; outside an article or main element, where a page has one, nothing is content.
 
 Defined results: a null or empty html has no text. Hosts with few pages have no template, so furniture alone
 decides. A page is never emptied by its template: if more than half of its content would go, all stays.
 Repeated rows are pages of their own. Work on a page is linear in its length but for the matching of small
-trees, and state is bounded: TEXTS recurring texts for each node of a template.
+trees, and state is bounded: a task hands its counts on when it holds PARTIAL of them.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from keyloom.llm.shared import BROADCAST_BYTES, written
 
 SUPPORT, CONSTANT = 8, 0.8
-#: Recurring texts that a template node remembers (a text of a larger share than 1/TEXTS is never lost).
-TEXTS = 12
+#: Counts that a task holds before it hands them on.
+PARTIAL = 200_000
 #: Nodes of a page's tree; deeper or wider parts count at their ancestor.
 NODES = 400
 
@@ -61,22 +62,21 @@ _TOKEN = re.compile(
 class Node:
     """A block element of a page, or its counterpart in a template."""
 
-    __slots__ = ("label", "kids", "furniture", "content", "count", "texts", "path")
+    __slots__ = ("label", "kids", "furniture", "content", "count", "path")
 
     def __init__(self, label: str, furniture: bool = False, content: bool = False, path: str = ""):
         self.label, self.furniture, self.content, self.path = label, furniture, content, path
         self.kids: list[Node] = []
         self.count = 0
-        self.texts: dict[str, list] = {}
 
     def to_json(self) -> list:
-        return [self.label, self.count, self.texts, [k.to_json() for k in self.kids]]
+        return [self.label, self.count, [k.to_json() for k in self.kids]]
 
     @staticmethod
     def from_json(value: list) -> Node:
         node = Node(value[0])
-        node.count, node.texts = value[1], value[2]
-        node.kids = [Node.from_json(k) for k in value[3]]
+        node.count = value[1]
+        node.kids = [Node.from_json(k) for k in value[2]]
         return node
 
 
@@ -193,7 +193,6 @@ def absorb(template: Node, other: Node, pairs: list | None = None) -> None:
     if pairs is None:
         pairs = simple_tree_matching(template, other)[1]
     template.count += other.count
-    merge_texts(template.texts, other.texts)
     matched = {j: (template.kids[i], below) for i, j, below in pairs}
     at = 0
     for j, kid in enumerate(other.kids):
@@ -206,56 +205,41 @@ def absorb(template: Node, other: Node, pairs: list | None = None) -> None:
             at += 1
 
 
-def merge_texts(mine: dict, other: dict) -> None:
-    """Frequent-items summaries added up (Misra-Gries): counts are low by at most a TEXTS-th of all."""
-    for text, (count, pages) in other.items():
-        if text in mine:
-            mine[text][0] += count
-            mine[text][1] = sorted(set(mine[text][1]) | set(pages))[:SUPPORT]
-        else:
-            mine[text] = [count, pages]
-    if len(mine) > TEXTS:
-        off = sorted((c for c, _ in mine.values()), reverse=True)[TEXTS]
-        for text in [t for t, (c, _) in mine.items() if c <= off]:
-            del mine[text]
-        for entry in mine.values():
-            entry[0] -= off
+def key_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def key_of(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def text_key(path: str, text: str) -> int:
+    return key_of(f"{path}\n{text}")
 
 
-def observed(page: str) -> Node:
-    """A page's tree as a template of one page: each node with the texts it holds and the page's own key."""
+def observed(page: str) -> tuple[Node, dict[int, str], int]:
+    """A page's tree as a template of one page, the path of each text by the text's key, and the page's own key."""
     root, blocks = parse(page)
     own = key_of("\n".join(t for node, t in blocks if node.content and not node.furniture) or page)
-    for node, text in blocks:
-        if not node.furniture:
-            node.texts[key_of(text)] = [1, [own]]
+    texts = {text_key(node.path, text): node.path for node, text in blocks if not node.furniture}
     todo = [root]
     while todo:
         node = todo.pop()
         node.count = 1
-        if len(node.texts) > TEXTS:  # the first of many, all seen once
-            node.texts = dict(list(node.texts.items())[:TEXTS])
         todo += node.kids
-    return root
+    return root, texts, own
 
 
-def constants(template: Node, path: str = "") -> dict[str, list[str]]:
-    """The recurring texts of every node of a host's template, by the node's path."""
-    out = {}
-    fixed = [t for t, (c, pages) in template.texts.items() if len(pages) >= SUPPORT and c >= CONSTANT * template.count]
-    if fixed:
-        out[path] = fixed
-    for kid in template.kids:
-        out |= constants(kid, f"{path}/{kid.label}")
+def pages_by_node(template: Node) -> dict[int, int]:
+    """The pages of every node of a host's template, by the key of the node's path."""
+    out: dict[int, int] = {}
+    todo = [(template, "")]
+    while todo:
+        node, path = todo.pop()
+        key = key_of(path)
+        out[key] = out.get(key, 0) + node.count
+        todo += [(kid, f"{path}/{kid.label}") for kid in node.kids]
     return out
 
 
-def main_text(page: str | None, fixed: dict[str, list[str]] | None = None) -> str:
-    """The page's main text, given its host's recurring texts."""
+def main_text(page: str | None, fixed: frozenset[int] | None = None) -> str:
+    """The page's main text, given the keys of its host's recurring texts."""
     if not page:
         return ""
     _, blocks = parse(page)
@@ -263,7 +247,7 @@ def main_text(page: str | None, fixed: dict[str, list[str]] | None = None) -> st
     if any(n.content for n, _ in shown):
         shown = [(n, t) for n, t in shown if n.content]
     if fixed:
-        varying = [(n, t) for n, t in shown if n.path not in fixed or key_of(t) not in fixed[n.path]]
+        varying = [(n, t) for n, t in shown if text_key(n.path, t) not in fixed]
         if 2 * sum(len(t) for _, t in varying) >= sum(len(t) for _, t in shown):
             shown = varying
     return " ".join(t for _, t in shown)
@@ -274,24 +258,48 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): for hosts with recurring texts, these by template node, as JSON. pages: __host, html."""
+    """(host, wrapper): for hosts with recurring texts, the keys of these. pages: __host, html."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates: dict[str, Node] = {}
+        counts: dict[tuple, list] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    tree = observed(page)
+                    tree, texts, own = observed(page)
                     if host in templates:
                         absorb(templates[host], tree)
                     else:
                         templates[host] = tree
-            if len(templates) > 500:  # bounded: partial templates of a host meet again in the next step
-                yield _rows([(h, json.dumps(t.to_json())) for h, t in templates.items()], "template")
-                templates = {}
-        yield _rows([(h, json.dumps(t.to_json())) for h, t in templates.items()], "template")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for key, path in texts.items():
+                        entry = counts.get((host, key))
+                        if entry is None:
+                            counts[host, key] = [key_of(path), 1, [own]]
+                        else:
+                            entry[1] += 1
+                            if own not in entry[2] and len(entry[2]) < SUPPORT:
+                                entry[2].append(own)
+            if len(templates) > 500 or len(counts) > PARTIAL:  # bounded: parts of a host meet again in the next step
+                yield from _parts(templates, counts)
+                templates, counts = {}, {}
+        yield from _parts(templates, counts)
+
+    def _parts(templates: dict[str, Node], counts: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
+        whole = list(templates.items())
+        for at in range(0, len(whole), 1000):
+            part = whole[at : at + 1000]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in part], pa.string()), pa.array([json.dumps(t.to_json()) for _, t in part], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=names
+            )
+        texts = list(counts.items())
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in part], pa.string()), pa.nulls(len(part), pa.string()), pa.array([e[0] for _, e in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([e[1] for _, e in part], pa.int64()), pa.array([e[2] for _, e in part], pa.list_(pa.int64()))], names=names
+            )
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, template = None, None
         for batch in batches:
             out = []
@@ -301,18 +309,24 @@ def induce(pages: DataFrame) -> DataFrame:
                     absorb(template, tree)
                 else:
                     if template is not None:
-                        out.append((host, constants(template)))
+                        out += [(host, k, c) for k, c in pages_by_node(template).items()]
                     host, template = name, tree
-            yield _rows([(h, json.dumps(c)) for h, c in out if c], "wrapper")
-        if template is not None and (c := constants(template)):
-            yield _rows([(host, json.dumps(c))], "wrapper")
+            yield _nodes(out)
+        if template is not None:
+            yield _nodes([(host, k, c) for k, c in pages_by_node(template).items()])
 
-    def _rows(rows: list[tuple], name: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["host", name])
+    def _nodes(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "node", "of"])
 
-    templates = pages.select("__host", "html").mapInArrow(partial, "host string, template string")
-    ready = templates.repartition("host").sortWithinPartitions("host")
-    return ready.mapInArrow(whole, "host string, wrapper string")
+    names = ["host", "template", "node", "text", "n", "own"]
+    parts = written(pages.select("__host", "html").mapInArrow(trees, "host string, template string, node long, text long, n long, own array<long>"), "observed")
+    templates = parts.where("template IS NOT NULL").select("host", "template").repartition("host").sortWithinPartitions("host")
+    pages_of = templates.mapInArrow(nodes, "host string, node long, of long")
+    # Different pages are told apart up to SUPPORT of them a task, so their number is exact as far as it decides.
+    texts = parts.where("text IS NOT NULL").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("own")).alias("own"))
+    shared = texts.where((F.col("n") >= SUPPORT) & (F.size(F.array_distinct("own")) >= SUPPORT)).select("host", "node", "text", "n")
+    fixed = shared.join(pages_of, ["host", "node"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("of"))
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("wrapper"))
 
 
 def html_extract(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -320,7 +334,7 @@ def html_extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     passed = [c for c in keep if c.lower() not in ("text", "n_chars")]
     rows = with_host(pages)
     wrappers = written(induce(rows), "wrappers")
-    size = wrappers.select(F.sum(F.length("wrapper") + 64)).first()[0] or 0
+    size = wrappers.select(F.sum(8 * F.size("wrapper") + 64)).first()[0] or 0
     rows = rows.select(*passed, "__host", F.col("html").alias("__html"))
     # No table of wrappers is too large for a cluster of hosts: beyond the bound pages are shuffled by host.
     rows = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, rows["__host"] == wrappers["host"], "left").select(*passed, "__html", "wrapper")
@@ -332,7 +346,7 @@ def html_extract(pages: DataFrame, keep: list[str]) -> DataFrame:
             texts = []
             for page, own in zip(batch.column(len(passed)).to_pylist(), batch.column(len(passed) + 1).to_pylist(), strict=True):
                 if own != wrapper:
-                    wrapper, fixed = own, json.loads(own) if own else None
+                    wrapper, fixed = own, frozenset(own) if own else None
                 texts.append(main_text(page, fixed))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

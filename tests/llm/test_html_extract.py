@@ -64,6 +64,22 @@ def test_wrappers_of_a_host(spark):
     assert extracted(spark, rows) == want
 
 
+def test_constant_text_after_many(spark):
+    """A text on every page is template after 3, 12 or 30 varying paragraphs, in and out of articles; one on half the pages is not."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    rows, want = [], {}
+    for many in (3, 12, 30):
+        for wrap in ("article", "div"):
+            for i in range(40):
+                body = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(many)] + ["On half the pages"] * (i % 2)
+                paragraphs = "".join(f"<p>{t}</p>" for t in [*body, "All of this is our own opinion"])
+                k = len(rows)
+                rows.append((k, f"http://{wrap}{many}.example/{i}", page(paragraphs, wrap=wrap)))
+                want[k] = " ".join(body)
+    assert extracted(spark, rows) == want
+
+
 def test_supplied_pages(spark, sf_dir):
     """The supplied pages keep their article between its tags."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
