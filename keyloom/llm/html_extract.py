@@ -12,9 +12,7 @@ Only texts that at least SUPPORT different pages and CONSTANT of all the host's
 are template; outside an article or main element, where a page has one, nothing is content.
 
 Defined results: a null or empty html has no text. Hosts with few pages have no template, so furniture alone
-decides. A page is never emptied by its template: if more than half of its content would go, all stays.
-Repeated rows are pages of their own. Work on a page is linear in its length but for the matching of small
-trees, and state is bounded: a task hands its counts on when it holds PARTIAL of them.
+decides. A page is never emptied by its template: if nothing at all would be left, all stays. Repeated rows are pages of their own. Work on a page is linear in its length but for the matching of small trees, and state is bounded: a task hands its counts on when it holds PARTIAL of them.
 """
 
 from __future__ import annotations
@@ -247,9 +245,7 @@ def main_text(page: str | None, fixed: frozenset[int] | None = None) -> str:
     if any(n.content for n, _ in shown):
         shown = [(n, t) for n, t in shown if n.content]
     if fixed:
-        varying = [(n, t) for n, t in shown if text_key(n.path, t) not in fixed]
-        if 2 * sum(len(t) for _, t in varying) >= sum(len(t) for _, t in shown):
-            shown = varying
+        shown = [(n, t) for n, t in shown if text_key(n.path, t) not in fixed] or shown
     return " ".join(t for _, t in shown)
 
 

@@ -80,6 +80,19 @@ def test_constant_text_after_many(spark):
     assert extracted(spark, rows) == want
 
 
+def test_short_articles_under_a_long_menu(spark):
+    """The template goes however short the article is; a page that is nothing else keeps it."""
+    menu = "".join(f"<li>Department number {k} of the house</li>" for k in range(12))
+    rows, want = [], {}
+    for i in range(40):
+        body = " ".join(["word"] * (i * 3 + 1)) + f" {i}"
+        rows.append((i, f"http://plain.example/{i}", f"<html><body><div><ul>{menu}</ul></div><div><p>{body}</p></div></body></html>"))
+        want[i] = body
+    rows.append((40, "http://plain.example/40", f"<html><body><div><ul>{menu}</ul></div></body></html>"))
+    want[40] = " ".join(f"Department number {k} of the house" for k in range(12))
+    assert extracted(spark, rows) == want
+
+
 def test_supplied_pages(spark, sf_dir):
     """The supplied pages keep their article between its tags."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
