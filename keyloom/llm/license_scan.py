@@ -4,6 +4,10 @@ A template is wording with markup: <<optional>> ... <<end>> may be left out, <<v
 words of the text's own. Compiled, it is an automaton over words; a text is accepted from a place on if its
 words there run through all mandatory wording in order, with only optional and replaceable regions differing.
 
+Short licenses (MIT, ISC, BSD, Unlicense) are templates of their whole wording, labelled NAME-text: a text that
+alters or lacks one mandatory word, or has others put in, isn't accepted. All other labels are of notices, titles
+and identifiers that name a license, and say nothing about the wording of a license text.
+
 Defined results: a null or empty text has no words, no labels and score 0. Overlapping places all count.
 """
 
@@ -23,6 +27,13 @@ from keyloom.llm.arrowmap import buffers, with_arrow_columns
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+# Clauses of the short licenses.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <<end>> <<optional>> a <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>> 2 <<end>> <<optional>> b <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_ADVERTS = "<<optional>> 3 <<end>> <<optional>> c <<end>> all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<var 12>>"
+_BSD_NAMES = "<<optional>> 3 <<end>> <<optional>> 4 <<end>> <<optional>> c <<end>> <<optional>> d <<end>> neither the name of <<var 12>> nor the names of <<optional>> its <<end>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AS_IS = "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
 # Templates by label; wording of public licenses and of the notices that name them.
 TEMPLATES = {
     "apache-2.0": [
@@ -43,20 +54,30 @@ TEMPLATES = {
     "mit": [
         "released under the <<optional>> terms of the <<end>> mit license",
         "<<optional>> is <<end>> licensed under the <<optional>> terms of the <<end>> mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
         "spdx license identifier mit",
     ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "spdx license identifier bsd <<var 1>> clause",
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software "
+        + _AS_IS
+    ],
+    "bsd": ["spdx license identifier bsd <<var 1>> clause"],
+    "bsd-2-clause-text": [f"{_BSD} {_BSD_AS_IS}"],
+    "bsd-3-clause-text": [f"{_BSD} {_BSD_NAMES} {_BSD_AS_IS}"],
+    "bsd-4-clause-text": [f"{_BSD} {_BSD_ADVERTS} {_BSD_NAMES} {_BSD_AS_IS}"],
+    "isc": ["spdx license identifier isc"],
+    "isc-text": [
+        "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
     ],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "cc-by-4.0": ["licensed under <<optional>> a <<end>> <<optional>> creative commons attribution <<end>> cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc-4.0": ["licensed under <<optional>> a <<end>> cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa-4.0": ["licensed under <<optional>> a <<end>> cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc0-1.0": ["cc0 1 0 universal"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": ["spdx license identifier unlicense"],
+    "unlicense-text": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+        + _AS_IS
+    ],
     "all-rights-reserved": ["<<optional>> copyright <<var 8>> <<end>> all rights reserved"],
 }
 

@@ -83,6 +83,32 @@ def test_mandatory_wording_decides(spark, text, label, accepted):
     assert (label in row.labels.split(",")) == accepted
 
 
+def filled(template: str) -> str:
+    """A text of the template: optional words left out, names put in."""
+    return re.sub(r"<<var \d+>>", "the authors", re.sub(r"<<optional>> .*? <<end>> ", "", template))
+
+
+def test_one_altered_clause_is_refused(spark):
+    """Whole license texts are accepted; with one mandatory word changed, left out or put in they are not."""
+    full = {label: filled(t[0]) for label, t in L.TEMPLATES.items() if label.endswith("-text")}
+    assert sorted(full) == ["bsd-2-clause-text", "bsd-3-clause-text", "bsd-4-clause-text", "isc-text", "mit-text", "unlicense-text"]
+    texts = [(label, t, label) for label, t in full.items()]
+    for label, t in full.items():
+        ws = t.split()
+        texts += [(label, " ".join(ws[: len(ws) // 3]), ""), (label, " ".join(ws[:-1]), "")]
+        for at in (len(ws) // 4, len(ws) - 12):
+            texts += [(label, " ".join([*ws[:at], *put, *ws[at + 1 :]]), "") for put in ([], ["altered"], [ws[at], "not"])]
+    json_license = full["mit-text"].replace("the software is provided", "the software shall be used for good not evil the software is provided")
+    texts.append(("mit-text", json_license, ""))
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+    texts.append(("bsd", bsd, ""))
+    df = spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(texts)], "k int, text string")
+    got = {r.k: (r.labels, r.score) for r in L.license_scan(df, phrases={}, keep=["k"]).collect()}
+    assert got == {k: (want, 1.0 if want else 0.0) for k, (_, _, want) in enumerate(texts)}
+
+
 def test_own_templates_and_overlaps(spark):
     df = spark.createDataFrame([("x a a a b y",), ("a c c b",), ("a c c c b",)], "text string")
     rows = {r.text: r for r in L.license_scan(df, templates={"t": ["a <<var 2>> b"]}, phrases={"a a": "aa"}).collect()}
