@@ -1,7 +1,8 @@
 """Line-first cleaning: rules judge single lines, and a text that loses too much of itself is rejected.
 
 Defined results: a null or empty text has no words and is rejected (base_failed). Rows are judged one by
-one, so repeated rows and ties give equal results and an empty table gives an empty one.
+one, so repeated rows and ties give equal results and an empty table gives an empty one. Words and lines are
+compared by their bytes. Texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ _CLOSING[0x80:] = True
 ADDED = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_chars")] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("cleaned", T.StringType())])
 
 
-def _repeat_words(hashes: np.ndarray, owner: np.ndarray, bounds: np.ndarray, size: int = 5) -> np.ndarray:
-    """Words inside a window of `size` words that its text has twice or more."""
-    cover = np.zeros(len(hashes) + 1, np.int64)
-    if len(hashes) >= size:
-        whole = W.windows(hashes, size)
-        at = np.flatnonzero(owner[: len(whole)] == owner[size - 1 :])
-        order, same = W.grouped(owner[at], whole[at])
+def _repeat_words(kinds: np.ndarray, owner: np.ndarray, bounds: np.ndarray, size: int = 5) -> np.ndarray:
+    """Words inside a window of `size` words that its text has twice or more; kinds number the words exactly."""
+    cover = np.zeros(len(kinds) + 1, np.int64)
+    n = len(kinds) - size + 1
+    if n > 0:
+        at = np.flatnonzero(owner[:n] == owner[size - 1 :])
+        order, same = W.grouped(owner[at], *[kinds[at + k] for k in range(size)])
         again = same.copy()
         again[:-1] |= same[1:]
         hit = at[order[again]]
@@ -75,7 +76,7 @@ def judge(texts: pa.Array, rules: Rules) -> list:
     data, offsets = buffers(texts)
     seen = ~W.SPACE[data]
     starts, ends, bounds = W.tables_of_words(data, offsets)
-    owner, hashes = W.owners(bounds), W.span_hashes(data, starts, ends)
+    owner, kinds = W.owners(bounds), W.distinct_spans(data, starts, ends)[1]
     n_words = np.diff(bounds)
     chars = seen & ~W.INNER[data]
     word_chars = W.counts(chars, offsets)
@@ -90,20 +91,20 @@ def judge(texts: pa.Array, rules: Rules) -> list:
     words_in = np.searchsorted(starts, to) - np.searchsorted(starts, at)
     total = lambda flags: (c := np.concatenate([[0], np.cumsum(flags)]))[to] - c[at]
     filled = np.flatnonzero(words_in > 0)
-    order, same = W.grouped(line_owner[filled], W.span_hashes(data, at[filled], to[filled]))
+    order, same = W.grouped(line_owner[filled], W.distinct_spans(data, at[filled], to[filled])[1])
     twice = np.zeros(len(at), bool)
     twice[filled[order[same]]] = True
     per_line = np.searchsorted(line_owner, np.arange(len(texts) + 1))
     n_dup = W.counts(twice, per_line)
 
-    repeat = _repeat_words(hashes, owner, bounds)
+    repeat = _repeat_words(kinds, owner, bounds)
     base_failed = (n_words < 10) | (100 * repeat > 20 * n_words)
 
     visible = total(chars)
     lone = (ends - starts == 1) & _SEPARATOR[data[starts]]
     by_word = lambda flags: (c := np.concatenate([[0], np.cumsum(flags)]))[np.searchsorted(starts, to)] - c[np.searchsorted(starts, at)]
-    echo = np.zeros(len(hashes), bool)
-    echo[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    echo = np.zeros(len(kinds), bool)
+    echo[1:] = (kinds[1:] == kinds[:-1]) & (owner[1:] == owner[:-1])
     last = np.searchsorted(starts, to) - 1
     closed = np.zeros(len(at), bool)
     closed[filled] = _CLOSING[data[ends[last[filled]] - 1]]

@@ -1,12 +1,14 @@
 """Vectorised word and line scanning over the bytes of many texts at once.
 
-Hashes are 64-bit: two different words, lines or shingles are taken for equal with a chance of about
-2**-64 a pair.
+Where an index stands for equality, distinct_spans and grouped compare the bytes (or exact numbers made from
+them). Hashes alone are used where no comparison can follow, as for shingles of different tasks: 8 bytes after
+8 go through a mixing step that loses nothing of the state before, so equal-length spans of up to 8 bytes
+never collide and other different spans do with a chance of about 2**-64 a pair, however they repeat.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import hashlib
 
 import numpy as np
 
@@ -27,28 +29,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTES = mix(np.arange(256, dtype=U))
-_BASE = 0xD6E8FEB86659FD93
-_STEP = U(0xA0761D6478BD642F)
-
-
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n, inverse = 1 << bits, pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n, base, U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U))
-    return out[0], out[1]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+_KEY = b"keyloom spans"
+_TAILS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for every span: a rolling polynomial over per-byte random values."""
-    up, down = _powers(max(21, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTES[data] * up[: len(data)], dtype=U, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """A 64-bit hash of data[start:end] for every span."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    lengths = ends - starts
+    out = mix(lengths.astype(U))
+    for k in range(0, LONG_SPAN, 8):
+        at = np.flatnonzero((lengths > k) & (lengths <= LONG_SPAN))
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (eight[starts[at] + k] & _TAILS[np.minimum(lengths[at] - k, 8)]))
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=_KEY).digest(), "little")
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one span of every kind, and for each span its kind's number. Equal means equal bytes."""
+    _, index, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths, first = ends - starts, index[inverse]
+    same = np.array_equal(lengths, lengths[first])
+    if same:
+        before = np.cumsum(lengths) - lengths
+        step = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+        same = np.array_equal(data[np.repeat(starts, lengths) + step], data[np.repeat(starts[first], lengths) + step])
+    if same:
+        return index, inverse
+    # Two different spans share a hash: number them by their bytes.
+    raw, numbers, firsts = data.tobytes(), {}, []
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if numbers.setdefault(raw[a:b], len(numbers)) == len(firsts):
+            firsts.append(i)
+    return np.array(firsts), np.array([numbers[raw[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,19 +102,25 @@ def counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every `size` consecutive word hashes (also across texts: the caller masks those)."""
     n = max(0, len(hashes) - size + 1)
-    out = np.zeros(n, U)
+    out = np.full(n, size, U)
     for k in range(size):
-        out = out * _STEP + hashes[k : k + n]
-    return mix(out)
+        out = mix(out ^ hashes[k : k + n])
+    return out
 
 
-def grouped(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts equal (owner, hash) together, earlier first, and a flag: equal to the one before."""
-    key = mix(hashes + owner.astype(U) * U(0x9FB21C651E98DF25))
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal rows of the columns of numbers together, earlier first, and a flag: equal to the one before."""
+    key = np.zeros(len(columns[0]), U)
+    for c in columns:
+        key = mix(key ^ c.astype(U))
     order = np.argsort(key, kind="stable")
-    same = np.zeros(len(key), bool)
-    same[1:] = key[order][1:] == key[order][:-1]
-    return order, same
+    alike = key[order][1:] == key[order][:-1]
+    equal = lambda: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+    same = equal()
+    if (alike != same).any():  # two different rows share a key
+        order = np.lexsort(columns)
+        same = equal()
+    return order, np.append(np.zeros(min(len(key), 1), bool), same)
 
 
 def tables_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,11 +146,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[
         whole, who = np.zeros(0, U), np.zeros(0, np.int64)
     few = np.flatnonzero((number > 0) & (number < size))
     if len(few):
-        short = np.zeros(len(few), U)
+        short = number[few].astype(U)
         for k in range(size - 1):
             has = number[few] > k
-            short[has] = short[has] * _STEP + hashes[bounds[few[has]] + k]
-        whole = np.concatenate([whole, mix(short + number[few].astype(U))])
+            short[has] = mix(short[has] ^ hashes[bounds[few[has]] + k])
+        whole = np.concatenate([whole, short])
         who = np.concatenate([who, few])
     order = np.lexsort((whole, who))
     whole, who = whole[order], who[order]

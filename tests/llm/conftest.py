@@ -26,6 +26,12 @@ AWKWARD = [
 ]
 
 
+def thue_morse(n: int) -> list[str]:
+    """The Thue-Morse word of n letters and its complement, on which polynomial hashes modulo 2**64 collide."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
 @pytest.fixture(scope="session")
 def long_text() -> str:
     rng = random.Random(5)

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keyloom.llm import byte_bpe as B
+from tests.llm.conftest import thue_morse
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,11 @@ def _bind(library):
 def test_long_piece_without_spaces(library):
     text = "abcdefghij" * 500 + "é" * 700
     assert B.encode(pa.array([text]), B.vocabulary())[0][0].tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_structured_pieces_are_told_apart(library, n):
+    pair = thue_morse(n)
+    ids, _, _ = B.encode(pa.array(pair), B.vocabulary())
+    assert [i.tolist() for i in ids] == [library.encode_ordinary(t) for t in pair]
+    assert [B.decode(i, B.vocabulary()).decode() for i in ids] == pair

@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+
 from keyloom.llm import quality_rules as Q
+from tests.llm.conftest import thue_morse
 
 SPACES = "[\x20\x09-\x0d]+"
 
@@ -80,3 +84,22 @@ def test_cleaned_text_and_empty_table(spark, no_docs):
     row = Q.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.cleaned == "A proper sentence stands here, long enough to be kept."
     assert Q.quality_rules(no_docs).count() == 0 and Q.keep_good(no_docs).columns == no_docs.columns
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_lines_and_words_are_told_apart(n):
+    one, other = thue_morse(n)
+    texts = [f"{one}\n{other}", f"{one}\n{other}\n{one}", " ".join([one] * 5 + [other] * 5 + [one] * 5)]
+    got = dict(zip(Q.ADDED.names, Q.judge(pa.array(texts), Q.Rules()), strict=True))
+    for i, text in enumerate(texts):
+        want = brute(text)
+        assert {k: got[k][i].as_py() for k in want} == want
+
+
+def test_rows_whose_keys_collide_are_told_apart(monkeypatch):
+    """With a hash that says nothing, equality is still that of the bytes."""
+    monkeypatch.setattr(Q.W, "mix", lambda x: x & Q.W.U(0))
+    texts = ["the cat sat on the mat and the cat sat on the mat\na line\na line\nother line"]
+    got = dict(zip(Q.ADDED.names, Q.judge(pa.array(texts), Q.Rules()), strict=True))
+    want = brute(texts[0])
+    assert {k: got[k][0].as_py() for k in want} == want
