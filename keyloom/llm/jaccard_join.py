@@ -9,16 +9,22 @@
 3. The nodes of one shingle are joined by signature trees: a tree node holds the OR of its rows' shingle
    bitmaps and their size range. Two trees are walked together from the top; a pair of nodes is dropped when
    sizes or the largest possible overlap rule every row pair out. What the leaves let through connects nodes
-   into clusters, of which each shingle reports only who belongs together.
-4. All similar pairs lie inside clusters. A cluster's whole sets meet once (in pairs of blocks if it is
-   large), its own trees are walked, and row pairs not yet connected are verified on the whole sets. So no
-   pair of different sets is lost, and output grows with the documents, not with the pairs of a group.
-
-Hashes are 64-bit: two different shingles count as equal with a chance of about 2**-64 a pair.
+   into clusters, of which each shingle reports only who belongs together. A shingle of more than BLOCK_ROWS
+   nodes connects them all: step 4 tells them apart.
+4. All similar pairs lie inside clusters, whose whole sets are compared: the trees of a block are walked, and row
+   pairs not yet connected are verified on the sets. A cluster larger than a block is cut into blocks of like
+   sizes; each is joined on its own, then one row of each component found, block by block again, while that makes
+   them fewer. What is then apart from its cluster's largest component meets all the cluster's rows of
+   possible sizes, pairs of blocks at a time. So no pair of different sets is lost, a group of any number of near
+   copies costs about as much as its rows, and output grows with the documents, not with the pairs of a group.
+
+Two different shingles count as equal if their hashes are, a chance of about 2**-64 for a pair of texts not made
+to collide.
 
 Defined results: null and empty texts have no shingles and are their own component. Rows that share a
 doc_id are one document: its component is that of any of them, the smallest. Rows without a doc_id link
-like all others, under a number made from their text; components of such rows alone are null.
+like all others, under a number made from their text; components of such rows alone are null. An empty table
+gives an empty one; other columns of the input are left out. Texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -27,22 +33,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm import words as W
 from keyloom.llm.arrowmap import buffers, slices
 from keyloom.llm.components import components
-from keyloom.llm.shared import BROADCAST_BYTES, written
+from keyloom.llm.shared import BROADCAST_BYTES, removed, written
 
 SHINGLE = 5
 #: Similar: UNION_PARTS * intersection >= LEAST_PARTS * union.
 LEAST_PARTS, UNION_PARTS = 80, 100
 #: Bins of the histogram of shingles (its size does not depend on the corpus), and rows it is sent in.
 BINS, BLOCKS = 1 << 20, 64
-#: Nodes of one shingle in one task; more are dealt out as pairs of blocks.
-BLOCK_ROWS = 2048
+#: Rows and bytes of sets that are joined in one piece, and rows of each side where two pieces meet.
+BLOCK_ROWS, BLOCK_BYTES, CROSS_ROWS = 256, 32 << 20, 1024
 LEAF, FANOUT = 16, 8
 #: Pairs of tree nodes looked at together.
 FRONTIER = 1 << 15
@@ -109,8 +115,7 @@ def summed(histograms: DataFrame) -> np.ndarray:
 
 def by_node(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the rows whose doc_id is a node; nodes is broadcast while small."""
-    small = nodes.count() * 32 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(nodes) if small else nodes, docs.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+    return docs.join(hinted(nodes, 32), docs.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
 
 
 def prefixes(texts: DataFrame, histogram: np.ndarray) -> DataFrame:
@@ -278,9 +283,10 @@ def clustered(n: np.ndarray, bits: list[bytes], side: np.ndarray) -> np.ndarray:
     return label
 
 
-def exactly_linked(n: np.ndarray, bits: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Labels of rows connected by similar pairs; a pair that is connected already needs no verification."""
-    label = np.arange(len(n))
+def exactly_linked(n: np.ndarray, bits: list[bytes], side: np.ndarray, sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Labels of rows connected by similar pairs or equal known numbers; a pair that is connected already needs no verification."""
+    _, first, of = np.unique(known, return_index=True, return_inverse=True)
+    label = first[of]
     words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(n)
     marked = np.zeros(len(words), bool)
@@ -308,16 +314,26 @@ def exactly_linked(n: np.ndarray, bits: list[bytes], side: np.ndarray, sets: lis
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def tree_join(rows: DataFrame, exact: bool) -> DataFrame:
-    """(a, b) links that connect what belongs together, at most one a row, from rows (key, block_a, block_b,
-    side, node, n, bits) and, if exact, hashes. Rows stream in by key, so a task holds one block pair."""
-    keys = ["key", "block_a", "block_b"]
+def tree_join(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
+    """(a, b) links that connect what belongs together among the rows of equal keys, at most one a row.
+
+    rows: keys, node, n, bits; if exact also hashes and known (rows of one such number are connected already); if there,
+    side (rows of sides 0 and 1 meet only across). Rows stream in by key, so a task holds one group.
+    """
+    sided = "side" in rows.columns
 
     def joined(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         columns = list(zip(*group, strict=True))
-        side, node, n = (np.array(columns[k], np.int64) for k in (3, 4, 5))
-        label = exactly_linked(n, columns[6], side, [np.frombuffer(h, np.int64) for h in columns[7]]) if exact else clustered(n, columns[6], side)
-        at = np.flatnonzero(label != np.arange(len(label)))
+        node, n = (np.array(columns[k], np.int64) for k in (0, 1))
+        side = np.array(columns[-1], np.int64) if sided else np.full(len(n), 2)
+        if exact:
+            known = np.array(columns[4], np.int64)
+            label = exactly_linked(n, columns[2], side, [np.frombuffer(h, np.int64) for h in columns[3]], known)
+            _, first, of = np.unique(known, return_index=True, return_inverse=True)
+            at = np.flatnonzero(label != first[of])
+        else:
+            label = clustered(n, columns[2], side)
+            at = np.flatnonzero(label != np.arange(len(label)))
         return node[at], node[label[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,11 +341,11 @@ def tree_join(rows: DataFrame, exact: bool) -> DataFrame:
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != at:
+                if group and row[: len(keys)] != at:
                     out.append(joined(list(group)))
                     group = {}
-                at = row[:3]
-                group[row] = None
+                at = row[: len(keys)]
+                group[row[len(keys) :]] = None
             yield _links(out)
         if group:
             yield _links([joined(list(group))])
@@ -338,16 +354,82 @@ def tree_join(rows: DataFrame, exact: bool) -> DataFrame:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
 
-    ready = rows.select(*keys, "side", "node", "n", "bits", *(["hashes"] if exact else [])).repartition(*keys).sortWithinPartitions(*keys)
-    return ready.mapInArrow(run, LINKS)
+    columns = [*keys, "node", "n", "bits", *(["hashes", "known"] if exact else []), *(["side"] if sided else [])]
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINKS)
+
+
+def hinted(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    """df, to be broadcast while it is small."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """rows (with cnt, the rows of their key) under each pair of blocks they belong to: one for small keys."""
-    many = F.ceil(F.col("cnt") / BLOCK_ROWS).cast("int")
-    dealt = rows.withColumn("__own", F.pmod(F.xxhash64("node"), many.cast("long")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), many - 1)))
-    side: Column = F.when(F.col("__own") == F.col("__other"), 2).when(F.col("__own") < F.col("__other"), 0).otherwise(1)
-    return dealt.withColumns({"block_a": F.least("__own", "__other"), "block_b": F.greatest("__own", "__other"), "side": side})
+#: Sets of similar sizes are in the same class or in neighbouring ones.
+SIZE_CLASS = f"cast(floor(ln(n) / ln({UNION_PARTS / LEAST_PARTS})) AS int)"
+
+
+def dealt(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """rows (key, node, n, ...) with their block: all rows of a small key in one, else its size classes cut by a hash of the node.
+
+    Columns added: class (-1 in a small key), block, blocks (how many its class has).
+    """
+    rows = rows.withColumn("class", F.expr(SIZE_CLASS))
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum(8 * F.col("n")).alias("bytes"))
+    whole = sizes.groupBy("key").agg((F.sum("rows") <= most).alias("few"), (F.sum("bytes") <= BLOCK_BYTES).alias("light"))
+    count = F.greatest(F.ceil(F.col("rows") / most), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = written(sizes.join(whole, "key").select("key", F.col("class").alias("__of"), (F.col("few") & F.col("light")).alias("small"), count.alias("blocks")), "sizes")
+    large = hinted(sizes.where("NOT small").select(F.col("key").alias("__key"), "__of", "blocks"), 48)
+    joined = rows.join(large, (F.col("key") == F.col("__key")) & (F.col("class") == F.col("__of")), "left").drop("__key", "__of")
+    joined = joined.withColumn("class", F.when(F.col("blocks").isNull(), -1).otherwise(F.col("class"))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return joined.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks").cast("long")).cast("int"))
+
+
+def cluster_links(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) links that connect each cluster's similar sets. clusters: node, key; sets: node, n, bits, hashes."""
+    block = ["key", "class", "block"]
+    rows = written(clusters.join(sets, "node"), "clusters")
+    ready = dealt(rows, BLOCK_ROWS, 0).withColumn("known", F.col("node"))
+    small = written(tree_join(ready.where("class < 0"), block, True), "similar")
+    rest = written(ready.where("class >= 0"), "large")
+    if rest.isEmpty():
+        removed(rows, rest)
+        return small
+    links = written(tree_join(rest, block, True), "similar")
+    rest = rest.select("key", "node", "n", "bits", "hashes")
+    # Large clusters: one row of every component so far, again and again while they get fewer.
+    count, seed = rest.count(), 0
+    while True:
+        now = rest.join(components(links), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+        first = written(now.where("known = node"), "first")
+        if first.groupBy("key").count().where("count > 1").isEmpty():
+            return small.unionByName(links)
+        fewer, seed = first.count(), seed + 1
+        if 2 * fewer > count:
+            break
+        count = fewer
+        links = written(links.unionByName(tree_join(dealt(first, BLOCK_ROWS, seed), block, True)), "similar")
+        removed(first)
+    # What isn't in a cluster's largest component meets all rows of the cluster.
+    now = now_at = written(now, "labelled")
+    parts = now.groupBy("key", "known").agg(F.count("*").alias("rows"))
+    main = parts.groupBy("key").agg(F.max_by("known", F.struct("rows", "known")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    now = now.join(hinted(main, 48), "key")
+    strays = dealt(now.where("known <> main"), CROSS_ROWS, seed + 1).withColumn("class", F.expr(SIZE_CLASS))
+    everyone = dealt(now, CROSS_ROWS, seed + 2).withColumn("class", F.expr(SIZE_CLASS))
+    # Blocks of both sides by class; each row goes to the other side's blocks of its own and neighbouring classes.
+    strays, everyone = written(strays, "strays"), written(everyone, "everyone")
+    blocks_of = lambda df: df.groupBy("key", "class").agg(F.max("block").alias("last")).select("key", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), F.col("class").alias("their"), "last")
+
+    def sent(df: DataFrame, others: DataFrame, side: int) -> DataFrame:
+        own, theirs = ("i_class", "i"), ("j_class", "j")
+        if side:
+            own, theirs = theirs, own
+        pairs = df.join(hinted(blocks_of(others), 48), ["key", "class"]).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        return pairs.select("key", F.col("class").alias(own[0]), F.col("block").alias(own[1]), F.col("their").alias(theirs[0]), F.col("__other").alias(theirs[1]), "node", "n", "bits", "hashes", "known", F.lit(side).alias("side"))
+
+    met = sent(strays, everyone, 0).unionByName(sent(everyone, strays, 1))
+    more = written(tree_join(met, ["key", "i_class", "i", "j_class", "j"], True), "similar")
+    removed(rows, now_at, strays, everyone)
+    return small.unionByName(links).unionByName(more)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -361,21 +443,24 @@ def similar_components(docs: DataFrame) -> DataFrame:
     sets = written(sets, "sets")
     nodes = sets.select("node").distinct()
 
-    token = F.expr("count(*) OVER (PARTITION BY token)"), F.expr("bit_xor(xxhash64(node)) OVER (PARTITION BY token)"), F.expr("bit_xor(xxhash64(node, 1)) OVER (PARTITION BY token)")
-    again = F.expr("coalesce(lag(node) OVER (PARTITION BY token ORDER BY node) = node, false)")
-    firsts = prefixes(by_node(docs, nodes), histogram).select("token", "node", again.alias("again")).where("NOT again")
-    shared = firsts.select("token", "node", *[c.alias(n) for c, n in zip(token, ("cnt", "x1", "x2"), strict=True)]).where("cnt > 1")
-    shared = written(shared, "shared")
-    distinct = shared.groupBy("x1", "x2", "cnt").agg(F.min("token").alias("token")).select("token")
-    kept = written(shared.join(distinct, "token", "left_semi").select("token", "node", "cnt"), "kept")
-    signed = written(signatures(by_node(docs, kept.select("node").distinct())), "signatures")
-
-    rows = kept.join(signed.select("node", "n", "bits"), "node").withColumnRenamed("token", "key")
-    clusters = components(tree_join(blocks(rows), False)).withColumnRenamed("component", "key")
-    sizes = clusters.groupBy("key").agg(F.count("*").alias("cnt"))
-    clusters = written(clusters.join(sizes, "key"), "clusters")
-    whole = signatures(by_node(docs, clusters.select("node")), True)
-    links = written(tree_join(blocks(clusters.join(whole, "node")), True), "similar")
+    firsts = prefixes(by_node(docs, nodes), histogram)
+    if members.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").count() > nodes.count():
+        firsts = firsts.distinct()  # a node of several rows
+    firsts = written(firsts, "firsts")
+    # Counted before the shuffle as far as possible, so that no shingle is one task's work.
+    counts = firsts.groupBy("token").agg(F.count("*").alias("cnt"), F.expr("bit_xor(xxhash64(node))").alias("x1"), F.expr("bit_xor(xxhash64(node, 1))").alias("x2")).where("cnt > 1")
+    tokens = written(counts.groupBy("x1", "x2", "cnt").agg(F.min("token").alias("token")).select("token", "cnt"), "tokens")
+    kept = written(firsts.join(hinted(tokens, 32), "token"), "kept")
+    removed(firsts, tokens)
+    signed = written(signatures(by_node(docs, kept.where(F.col("cnt") <= BLOCK_ROWS).select("node").distinct())), "signatures")
+
+    together = kept.where(F.col("cnt") > BLOCK_ROWS)
+    together = together.join(hinted(together.groupBy("token").agg(F.min("node").alias("b")), 32), "token").select(F.col("node").alias("a"), "b").where("a <> b")
+    rows = kept.where(F.col("cnt") <= BLOCK_ROWS).join(signed.select("node", "n", "bits"), "node").withColumnRenamed("token", "key")
+    near = written(tree_join(rows, ["key"], False).unionByName(together), "near")
+    removed(kept, signed)
+    clusters = components(near).withColumnRenamed("component", "key")
+    links = cluster_links(clusters, signatures(by_node(docs, clusters.select("node")), True))
 
     # Rows of one doc_id are one document: its sets are linked to each other.
     twice = sets_by_id(members, sets)
@@ -403,8 +488,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with the document of the smallest doc_id of each component (and all without shingles or id)."""
     found = written(similar_components(docs), "components")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    small = gone.count() * 32 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, docs.doc_id == F.col("__gone"), "left_anti")
+    return docs.join(hinted(gone, 32), docs.doc_id == F.col("__gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

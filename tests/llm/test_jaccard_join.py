@@ -8,6 +8,7 @@ import re
 import pytest
 
 from keyloom.llm import jaccard_join as J
+from tests.llm.conftest import thue_morse
 
 
 def shingles(text: str | None) -> frozenset:
@@ -67,12 +68,43 @@ def test_chains_of_near_copies(spark, seed):
     check(spark, variants(seed, 12, 14))
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
-    """Groups far over a block are dealt out as pairs of blocks without losing links."""
-    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+@pytest.mark.parametrize(("rows", "size", "cross"), [(8, J.BLOCK_BYTES, 8), (4, 4000, 6), (1, J.BLOCK_BYTES, 1)])
+def test_large_groups_in_blocks(spark, monkeypatch, rows, size, cross):
+    """Groups far over a block are joined block by block, and what stays apart meets all the rest: no link is lost."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(J, "BLOCK_BYTES", size)
+    monkeypatch.setattr(J, "CROSS_ROWS", cross)
     check(spark, variants(3, 3, 60))
 
 
+def test_many_texts_of_a_shared_passage(spark, monkeypatch):
+    """A shingle that over a block of rows share connects them until their whole sets are compared."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, f"{passage} " + " ".join(f"t{k // 3}x{i}" for i in range(k % 7))) for k in range(40)]
+    check(spark, rows + [(100 + k, t) for k, t in rows[:12]])
+
+
+def test_joined_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    check(spark, variants(5, 4, 20))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_words_are_told_apart(spark, n):
+    """Texts that differ in words on which polynomial hashes collide do not link."""
+    one, other = thue_morse(n)
+    rest = " ".join(f"s{i}" for i in range(8))
+    check(spark, [(1, one), (2, other), (3, f"{one} {rest}"), (4, f"{other} {rest}"), (5, f"{one} {rest}")])
+
+
+def test_clashing_columns_are_left_out(spark):
+    rows = [(1, "a b c d e f", 9, "x"), (2, "a b c d e f", 9, "y")]
+    got = J.similar_components(spark.createDataFrame(rows, "doc_id long, text string, node int, token string"))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"] and sorted(map(tuple, got.collect())) == [(1, 2, 1), (2, 2, 1)]
+
+
 def test_exact_threshold(spark):
     """36 of 45 shingles are exactly 0.8; one less is not enough."""
     a = " ".join(f"a{i}" for i in range(44))  # 40 shingles
