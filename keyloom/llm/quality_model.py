@@ -1,17 +1,18 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer numpy network.
 
 Words and punctuation runs are hashed to VOCABULARY rows. Each row has a fixed sparse ternary index vector;
-its word vector is the sum of its neighbours' index vectors over a bounded sample of labelled training
-texts (random indexing). A document is the mean and spread of its word vectors and a few ratios; two layers
-score it, and a temperature fitted on texts kept out of the training calibrates the probability.
+its word vector is the sum of its neighbours' index vectors over all documents (random indexing; no labels
+are needed for it). A document is the mean and spread of its word vectors and a few ratios; two layers score
+it, and a temperature fitted on texts kept out of the training calibrates the probability.
 
-SAMPLE bounds the labelled rows that are learnt from (those with the smallest hash of their id, over all of
-them); everything else covers all rows. Labels are learnt only where crc32(doc_id) mod 5 is not 0; of the
-rest, remainder 1 calibrates. doc_id, lang, source and labels are never inputs of a score.
+SAMPLE bounds the labelled rows that the network and its temperature are learnt from (those with the smallest
+hash, over all of them); everything else covers all rows. Labels are learnt only where crc32(doc_id) mod 5 is not
+0; of the rest, remainder 1 calibrates. doc_id, lang, source and labels are never inputs of a score.
 
 Defined results: null and empty texts have a score like any other text (of no words). Without labels of
-both kinds the score is the share of label 1 (0.5 without any). Repeated label rows count as often; a null
-doc_id is not held out.
+both kinds the score is the share of label 1 (0.5 without any). Rows of labels that repeat doc_id and label count
+once; of documents that share a labelled doc_id the smallest text is learnt from. A null doc_id is not held out and
+has no label. An empty table gives an empty one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
 THRESHOLD = 0.3
 #: Partitions of the sample.
 SAMPLE_PARTS = 8
+#: Values of a 64-bit hash.
+HASHES = 2.0**64
 
 
 def index_vectors() -> np.ndarray:
@@ -93,7 +96,7 @@ def contexts(texts: DataFrame) -> np.ndarray:
     # Tables of any number of tasks are added up row by row; the driver gets each of VOCABULARY rows once.
     schema = "row int, sum binary"
     total = np.zeros((VOCABULARY, WIDTH), np.int64)
-    for row, values in texts.select("text").mapInArrow(run, schema).repartition(SAMPLE_PARTS, "row").mapInArrow(summed, schema).collect():
+    for row, values in texts.select("text").mapInArrow(run, schema).repartition("row").mapInArrow(summed, schema).collect():
         total[row] = np.frombuffer(values, np.int64)
     return word_vectors(total.astype(np.float64))
 
@@ -172,7 +175,7 @@ def trained(x: np.ndarray, y: np.ndarray, hold: np.ndarray) -> Network:
     share = y.mean() if len(y) else 0.5
     rng = np.random.default_rng(7)
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         odds = np.log(max(share, 1e-3) / max(1 - share, 1e-3)) if share != 0.5 else 0.0
         return Network(mean, scale, p[0] * 0, p[1], p[2] * 0, float(odds))
     xs, ys = (x[fit] - mean) / scale, y[fit]
@@ -207,11 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.
     """Word vectors and network from labels (doc_id, label) of docs (doc_id, text)."""
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (fold(F.col("doc_id")) != 0))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
-    # SAMPLE rows of ids at most, so a broadcast of it is bounded; texts are then dealt to few tasks.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", (fold(F.col("doc_id")) == 1).alias("hold"), F.xxhash64("doc_id").alias("place"))
-    rows = rows.repartition(SAMPLE_PARTS, "place")
-    vectors = contexts(rows)
+    known = known.where("doc_id IS NOT NULL").distinct().withColumn("place", F.xxhash64("doc_id", "label"))
+    # A threshold on the hash leaves little more than SAMPLE rows for the one task that takes the first of them.
+    share = min(1.0, 1.05 * SAMPLE / max(known.count(), 1))
+    chosen = known.where(F.col("place") <= F.lit(int(HASHES * (share - 0.5)) if share < 1 else (1 << 63) - 1)).orderBy("place", "doc_id", "label").limit(SAMPLE)
+    # SAMPLE rows of ids at most, so a broadcast of it is bounded, and so is what is left of the texts.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "label", (fold(F.col("doc_id")) == 1).alias("hold"), "place").repartition(SAMPLE_PARTS, "place")
+    vectors = contexts(docs)
     shared = spark.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

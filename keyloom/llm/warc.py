@@ -1,8 +1,9 @@
 """WARC: pages to archives, and archives inflated once and rewritten a gzip member per record.
 
 Spark's text writer makes monolithic archives: one gzip stream over all records of a file. The normaliser
-inflates such a stream once, in bounded chunks, writes every record as its own member and beside the
-archive a sidecar index (.idx: offset, length, type and page of each record), so that a reader can seek.
+reads and inflates such a stream once, in bounded chunks, writes every record as its own member and beside the
+archive a sidecar index (.idx: offset, length, type and page of each record), so that a reader can seek. It holds
+one record at a time, however long the archive is; a stream that ends early or fails its checksum is an error.
 
 Equal payloads of REVISIT_BYTES or more are stored once: the page with the largest id is the response, the
 others are revisits that name it.
@@ -10,12 +11,14 @@ others are revisits that name it.
 Defined results: a null html is an empty payload; a null url an empty one; a null page_id reads back as
 null. Repeated rows of one page_id are records of their own; of equal large ones all are responses' twins,
 so a row that repeats the response's page_id is a response too. Files are committed by rename and have the
-same bytes each time, so a task that runs again does no harm.
+same bytes each time, so a task that runs again does no harm. Payloads of any length are one record; an empty
+table gives archives without records and no rows; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -86,7 +89,7 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
 
 
 def inflated(content: Iterable[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip file, whatever its members, in chunks."""
+    """The bytes of a gzip file, whatever its members, in chunks; an error if its last member does not end."""
     engine = zlib.decompressobj(31)
     for chunk in content:
         while chunk:
@@ -96,6 +99,16 @@ def inflated(content: Iterable[bytes]) -> Iterator[bytes]:
             if out:
                 yield out
             chunk = engine.unused_data if engine.eof else engine.unconsumed_tail
+    while not engine.eof and (out := engine.decompress(b"", CHUNK)):
+        yield out
+    if not engine.eof:
+        raise ValueError("the archive's gzip stream ends early")
+
+
+def chunks(fs: pafs.FileSystem, path: str) -> Iterator[bytes]:
+    with fs.open_input_stream(path, compression=None) as f:
+        while chunk := f.read(CHUNK):
+            yield chunk
 
 
 def records(stream: Iterable[bytes]) -> Iterator[bytes]:
@@ -144,22 +157,22 @@ INDEX = T.StructType([T.StructField("archive", T.StringType()), T.StructField("n
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite every *.gz under source to target, a member per record with a sidecar index.
 
-    Returns (archive, n_records, bytes). target is a URI that pyarrow can open on every executor.
+    Returns (archive, n_records, bytes). source and target are URIs that pyarrow can open on every executor.
     """
     pafs.FileSystem.from_uri(target)[0].create_dir(pafs.FileSystem.from_uri(target)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(target)
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                buffer = content.as_buffer()
-                name = path.as_py().rsplit("/", 1)[1].split(".")[0]
-                token = hashlib.sha1(path.as_py().encode()).hexdigest()[:12]
+            for path in batch.column(0).to_pylist():
+                path = re.sub("^file:/(?!/)", "file:///", path)
+                name = path.rsplit("/", 1)[1].split(".")[0]
+                token = hashlib.sha1(path.encode()).hexdigest()[:12]
                 final = f"{root}/{name}-{token}.warc.gz"
                 lines, at = [], 0
                 draft = f"{final}.{uuid.uuid4().hex}"
                 with fs.open_output_stream(draft) as out:
-                    for record in records(inflated(buffer.slice(i, min(CHUNK, buffer.size - i)).to_pybytes() for i in range(0, buffer.size, CHUNK))):
+                    for record in records(inflated(chunks(*pafs.FileSystem.from_uri(path)))):
                         engine = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = engine.compress(record) + engine.flush()
                         fields = header(record[: record.index(b"\r\n\r\n")])
@@ -172,7 +185,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                 fs.move(draft, final)
                 yield pa.RecordBatch.from_arrays([pa.array([final.rsplit("/", 1)[1]]), pa.array([len(lines)], pa.int64()), pa.array([at], pa.int64())], names=INDEX.names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")  # content stays unread
     return files.mapInArrow(run, INDEX)
 
 

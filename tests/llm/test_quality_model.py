@@ -63,3 +63,22 @@ def test_awkward_rows(spark, awkward, texts, no_docs):
         same = {r.score for r in rows if not r.text}
         assert len(same) == 1  # null and empty alike
     assert Q.scored(no_docs, vectors, net).count() == 0
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """However often a doc_id is repeated, at most SAMPLE rows are learnt from; word vectors come from all documents."""
+    monkeypatch.setattr(Q, "SAMPLE", 30)
+    seen = []
+    monkeypatch.setattr(Q, "trained", lambda x, y, hold: seen.append(len(y)) or "net")
+    docs = spark.createDataFrame([(i % 100, f"word{i} text{i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 100, i % 2) for i in range(1000)], "doc_id long, quality int")
+    vectors, _ = Q.fit(docs, labels)
+    assert seen[0] <= 30 and seen[0] >= 20
+    whole, _ = Q.fit(docs, labels.limit(0))
+    assert np.array_equal(vectors, whole)
+
+
+def test_empty_tables(spark, no_docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    vectors, net = Q.fit(no_docs, labels)
+    assert Q.scored(no_docs, vectors, net).count() == 0 and net.score(Q.features(Q.pa.array(["a", None]), vectors)).tolist() == [0.5, 0.5]

@@ -7,6 +7,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from keyloom.llm import warc as W
 
 
@@ -69,3 +71,28 @@ def test_empty_table(spark, tmp_path):
     assert archives.count() == 1
     none, target = stored(spark, tmp_path / "none", [])
     assert W.read_archives(none, target).count() == 0
+
+
+def test_cut_archives_are_errors():
+    """A stream cut anywhere, in its trailer or between records of a longer one, is no shorter archive."""
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    first = engine.compress(record) + engine.flush(zlib.Z_SYNC_FLUSH)
+    whole = first + engine.compress(record * 3) + engine.flush()
+    assert list(W.records(W.inflated([whole]))) == [record] * 4
+    for data in (first, whole[:-1], whole[:-8], whole[: len(whole) // 2], b""):
+        with pytest.raises(ValueError, match="ends"):
+            list(W.records(W.inflated([data])))
+    with pytest.raises(zlib.error):
+        list(W.records(W.inflated([whole[:-8] + bytes(8)])))
+
+
+def test_clashing_columns_and_repeated_rows(spark, tmp_path):
+    """Extra columns are left out; rows that repeat the response's page_id are responses like it."""
+    big = "x" * 2000
+    rows = [(1, "u", big, "a"), (2, "u", big, "b"), (2, "u", big, "b"), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")
+    raw, target = f"file://{tmp_path}/raw", f"file://{tmp_path}/warc"
+    W.write_monolithic(pages, raw)
+    got = W.read_archives(W.normalise(spark, raw, target).cache(), target).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted([(1, "revisit", 2), (2, "response", None), (2, "response", None), (None, "response", None)], key=str)
