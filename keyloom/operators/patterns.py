@@ -1,6 +1,6 @@
 """Row patterns per key: variables with quantifiers, greedy, with conditions over what is bound so far.
 
-Rows are dealt by key and stream through a task in order; one key's rows are held while it is matched.
+Rows are dealt by key and stream through a task in order; of a key's rows those are held that an open match spans.
 """
 
 from __future__ import annotations
@@ -14,7 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Row = dict[str, Any]
-Bound = dict[str, list[Row]]
+
+
+class Rows(list):
+    """The rows bound to a variable; total() of a column costs a step a row, however often it is asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._totals: dict[str, Any] = {}
+
+    def total(self, column: str) -> Any:
+        if column not in self._totals:
+            self._totals[column] = sum(r[column] for r in self)
+        return self._totals[column]
+
+    def append(self, row: Row) -> None:
+        super().append(row)
+        for c in self._totals:
+            self._totals[c] += row[c]
+
+    def pop(self) -> Row:
+        row = super().pop()
+        for c in self._totals:
+            self._totals[c] -= row[c]
+        return row
+
+
+Bound = dict[str, Rows]
 
 
 @dataclass(frozen=True)
@@ -32,14 +58,21 @@ class Pattern:
     within: Any = None
 
 
-def match_at(rows: list[Row], at: int, pattern: Pattern, order: str) -> tuple[Bound, dict[str, list[int]], int] | None:
-    """The greedy match that starts at a row: bindings, their places and the place after it."""
-    bound: Bound = {n: [] for n, _ in pattern.variables}
+class Open(Exception):
+    """What a match is depends on rows after those at hand."""
+
+
+def match_at(rows: list[Row], at: int, pattern: Pattern, order: str, ended: bool = True) -> tuple[Bound, dict[str, list[int]], int] | None:
+    """The greedy match that starts at a row: bindings, their places and the place after it. Raises Open if it would look
+    beyond the rows and these haven't ended."""
+    bound: Bound = {n: Rows() for n, _ in pattern.variables}
     places: dict[str, list[int]] = {n: [] for n, _ in pattern.variables}
 
     def take(k: int, place: int) -> bool:
         name = pattern.variables[k][0]
         if place >= len(rows):
+            if not ended:
+                raise Open
             return False
         row = rows[place]
         if pattern.within is not None and row[order] - rows[at][order] >= pattern.within:
@@ -83,11 +116,15 @@ def match_at(rows: list[Row], at: int, pattern: Pattern, order: str) -> tuple[Bo
     return bound, places, place
 
 
-def matches(rows: list[Row], pattern: Pattern, order: str) -> Iterator[tuple]:
-    """Measures of the matches among one key's ordered rows."""
+def matches(rows: list[Row], pattern: Pattern, order: str, ended: bool = True) -> Iterator[tuple]:
+    """Measures of the matches among one key's ordered rows. What is done with goes from rows; if they haven't ended,
+    those stay that matches to come may need."""
     at = 0
     while at < len(rows):
-        found = match_at(rows, at, pattern, order)
+        try:
+            found = match_at(rows, at, pattern, order, ended)
+        except Open:
+            break
         if found is None:
             at += 1
             continue
@@ -101,6 +138,7 @@ def matches(rows: list[Row], pattern: Pattern, order: str) -> Iterator[tuple]:
         else:
             to = (places[name] or [at])[-1 if mode == "to_last" else 0]
             at = max(to, at + 1)
+    del rows[:at]
 
 
 def match_recognize(df: DataFrame, keys: list[str], order: str, pattern: Pattern, schema: T.StructType, ties: list[str] | None = None) -> DataFrame:
@@ -124,6 +162,7 @@ def match_recognize(df: DataFrame, keys: list[str], order: str, pattern: Pattern
                     found += [(*key, *m) for m in matches(rows, pattern, order)] if rows else []
                     key, rows = own, []
                 rows.append(row)
+            found += [(*key, *m) for m in matches(rows, pattern, order, False)]
             yield emitted(found)
         if rows:
             yield emitted([(*key, *m) for m in matches(rows, pattern, order)])

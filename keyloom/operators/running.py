@@ -54,3 +54,17 @@ def running(df: DataFrame, sums: dict[str, str], previous: dict[str, str] | None
     return joined.select(
         *df.columns, *[final(n).alias(n) for n in sums], *[F.when(F.col("__place") == 1, F.col(f"__s_{n}")).otherwise(F.col(f"__r_{n}")).alias(n) for n in previous]
     )
+
+
+def running_in_key(df: DataFrame, sums: dict[str, str], previous: dict[str, str] | None = None, wrap: bool = False) -> DataFrame:
+    """As running, by one window over each key: for keys of no more than a block's rows. Operators that keep the key share
+    its partitioning and order."""
+    previous = previous or {}
+    order = Window.partitionBy("key").orderBy(*ORDER)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda e: wrapped(F.sum(F.expr(e).cast("decimal(20,0)")).over(upto)) if wrap else F.sum(F.expr(e)).over(upto)
+    return df.select(*df.columns, *[total(e).alias(n) for n, e in sums.items()], *[F.lag(F.expr(e)).over(order).alias(n) for n, e in previous.items()])
+
+
+def rows_of_largest_key(df: DataFrame) -> int:
+    return df.groupBy("key").count().agg(F.max("count")).first()[0] or 0

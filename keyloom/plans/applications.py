@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators import recurrent as rec
-from keyloom.operators.modules import MODULES, rekeyed, rekeyed_sql, union, union_sql
+from keyloom.operators.modules import MODULES, rekeyed, union
+from keyloom.operators.running import BLOCK, rows_of_largest_key
+from keyloom.plans import application_sql
 from keyloom.sources import views
 from keyloom.sources.sinks import kept
 
@@ -26,63 +28,65 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ROWS = "SELECT user_id AS key, CAST(round(value * 100) AS BIGINT) % 1000 + 1 AS metric, event_id % 97 AS aux, event_id % 8 AS category, event_id AS sequence, CAST(0 AS BIGINT) AS branch FROM events"
-
-
 class Spark:
     """Builds an application's graph as a DataFrame.
 
-    A running total reads its input twice. So rows that come out of one and go into another are written in
-    between: along a chain of n operators they would otherwise be computed 2**n times.
+    The rows of the largest key are counted wherever rows get other keys, and carried along: an operator gives a row for
+    each of its own, a union the rows of its parts. While no key has more rows than a block, running totals are plain
+    windows and operators that keep the key share one shuffle. Beyond, keys are cut into blocks; as such a total reads its
+    input twice, rows that come out of one and go into another are then written in between: along a chain of n operators
+    they would otherwise be computed 2**n times.
     """
 
     def __init__(self) -> None:
         self.made: list[DataFrame] = []
+        self.largest: list[tuple[DataFrame, int]] = []
+
+    def _most(self, x: DataFrame) -> int:
+        known = next((n for f, n in self.largest if f is x), None)
+        if known is None:
+            known = rows_of_largest_key(x)
+            self.largest.append((x, known))
+        return known
 
-    def _from(self, out: DataFrame, *sources: DataFrame) -> DataFrame:
+    def _from(self, out: DataFrame, *sources: DataFrame, most: int | None = None) -> DataFrame:
         """out, known to be made by an operator if a source is."""
         if any(s is m for s in sources for m in self.made):
             self.made.append(out)
+        if most is not None:
+            self.largest.append((out, most))
         return out
 
     def op(self, name: str, x: DataFrame, wrap: bool = False) -> DataFrame:
         module = MODULES[name]
-        if not module.stateless and any(x is m for m in self.made):
-            x = kept(x, f"rows-{name}")
-        out = module.apply(x, wrap)
         if module.stateless:
-            return self._from(out, x)
-        self.made.append(out)
+            return self._from(module.apply(x, wrap), x, most=self._most(x) if module.key == "key" else None)
+        most = self._most(x)
+        spread = most > BLOCK
+        if spread and any(x is m for m in self.made):
+            x = kept(x, f"rows-{name}")
+        out = module.apply(x, wrap, spread)
+        if spread:
+            self.made.append(out)
+        self.largest.append((out, most))
         return out
 
     def map(self, x: DataFrame, **columns: str) -> DataFrame:
-        return self._from(rekeyed(x, **{k: v.replace("//", "div") for k, v in columns.items()}), x)
+        return self._from(rekeyed(x, **{k: v.replace("//", "div") for k, v in columns.items()}), x, most=None if "key" in columns else self._most(x))
 
     def union(self, *x: DataFrame) -> DataFrame:
-        return self._from(union(*x), *x)
+        return self._from(union(*x), *x, most=sum(map(self._most, x)))
 
     def step(self, x: DataFrame, step) -> DataFrame:
-        out = rec.keyed(x, step)
-        self.made.append(out)
+        """A recurrence: its rows are written, since Python made them and counting or joining them would do so again."""
+        out = kept(rec.keyed(x, step), "rows-step")
+        self.largest.append((out, self._most(x)))
         return out
 
 
-class Sql:
-    """Builds the same graph as SQL text."""
-
-    def op(self, name: str, x: str) -> str:
-        return MODULES[name].sql(x)
-
-    def map(self, x: str, **columns: str) -> str:
-        return rekeyed_sql(x, **columns)
-
-    def union(self, *x: str) -> str:
-        return union_sql(*x)
-
-
 def word_count_plain(g, x):
     """The running counts of words alone."""
-    return g.op("count", g.map(x, key=f"(key + metric + sequence) % {KEYS}", metric="1", aux="metric"))
+    return g.op("count", g.map(x, key=f"pmod(key + metric + sequence, {KEYS})", metric="1", aux="metric"))
 
 
 def word_count(g, x):
@@ -90,7 +94,7 @@ def word_count(g, x):
 
 
 def fraud(g, x):
-    return g.step(g.map(x, metric="metric + aux % 64", aux="sequence"), rec.predict)
+    return g.step(g.map(x, metric="metric + pmod(aux, 64)", aux="sequence"), rec.predict)
 
 
 def spikes(g, x):
@@ -98,16 +102,16 @@ def spikes(g, x):
 
 
 def traffic(g, x):
-    x = g.map(x, metric="20 + metric % 80", aux="aux * 1024 + sequence % 1024")
+    x = g.map(x, metric="20 + pmod(metric, 80)", aux="aux * 1024 + pmod(sequence, 1024)")
     x = g.step(g.op("map_match", x), rec.dense_map("TM.SegmentCache", 1, 2, BATCH, 4))
     return g.step(g.op("speed_calculate", x, wrap=True), rec.dense_reduce_map("TM.TrafficPressure", 2, BATCH, 5))
 
 
 def logs(g, x):
     geo = g.op("geo_status", g.op("geo_finder", g.map(x, metric="aux", aux="metric")))
-    status = "(200 + category % 5 * 100)"
-    statuses = g.op("status_counter", g.map(x, key=f"(key * 131 + {status} + sequence) % {KEYS}", metric=status, aux="metric"))
-    volumes = g.op("volume_counter", g.map(x, key=f"(key * 17 + sequence // {BATCH}) % {KEYS}", metric="1", aux=f"sequence // {BATCH}"))
+    status = "(200 + pmod(category, 5) * 100)"
+    statuses = g.op("status_counter", g.map(x, key=f"pmod(key * 131 + {status} + sequence, {KEYS})", metric=status, aux="metric"))
+    volumes = g.op("volume_counter", g.map(x, key=f"pmod(key * 17 + sequence // {BATCH}, {KEYS})", metric="1", aux=f"sequence // {BATCH}"))
     return g.union(geo, statuses, volumes)
 
 
@@ -115,14 +119,14 @@ def voice(g, x):
     turned = g.map(x, key="aux", aux="key")
     rcrf, ecrf, encr = g.op("rcrf", x), g.op("ecrf", turned), g.op("encr", x)
     ct24, ecr24 = g.op("ct24", x), g.op("ecr24", turned)
-    shared = g.op("global_acd", g.map(x, key=f"(sequence * 17 + aux) % {SHARDS}"))
+    shared = g.op("global_acd", g.map(x, key=f"pmod(sequence * 17 + aux, {SHARDS})"))
     url = g.op("url", g.union(ecrf, encr))
     acd = g.op("acd", g.union(ct24, ecr24, shared))
     return g.op("score", g.union(g.op("fofir", rcrf), url, acd))
 
 
 def roads_until_tolls(g, x, notified):
-    x = g.map(x, key=f"(aux + key) % {KEYS}", metric="10 + metric % 90")
+    x = g.map(x, key=f"pmod(aux + key, {KEYS})", metric="10 + pmod(metric, 90)")
     last = g.op("last_average_speed", g.op("average_speed", x))
     accidents = notified(g, g.op("accident_notification", g.union(g.op("accident_detection", x), g.op("count_vehicles", x))))
     return g.op("account_balance", g.op("toll_notification", g.union(last, accidents, g.op("daily_expenses", x))))
@@ -139,7 +143,6 @@ def roads_plain(g, x):
 
 
 APPLICATIONS = {"app_wc": word_count, "app_wc_plain": word_count_plain, "app_fd": fraud, "app_sd": spikes, "app_tm": traffic, "app_lg": logs, "app_vs": voice, "app_lr": roads, "app_lr_plain": roads_plain}
-IN_SQL = ("app_wc_plain", "app_lg", "app_vs", "app_lr_plain")
 STEPS = {
     "predict": rec.predict,
     "moving_average": rec.moving_average,
@@ -160,8 +163,4 @@ QUERIES = {
     **{n: (lambda spark, sf_dir, f=f: f(Spark(), rows(spark, sf_dir))) for n, f in APPLICATIONS.items()},
     "mod_category_filter": category_filter,
 }
-ORACLE_SQL = {
-    **{f"mod_{n}": m.sql(ROWS) for n, m in MODULES.items()},
-    **{n: APPLICATIONS[n](Sql(), ROWS) for n in IN_SQL},
-    "mod_category_filter": f"SELECT * FROM ({ROWS}) WHERE category % 5 IN (1, 3)",
-}
+ORACLE_SQL = application_sql.ORACLE_SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names. Where it is unset, a single machine takes a temporary
+    folder; a cluster has no such."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -51,12 +56,18 @@ def stream_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "
     return stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, mode: str = "update") -> DataFrame:
-    """All rows that a stream emits for now available data, with the batch they came in."""
+def drained(stream: DataFrame, mode: str = "update", ending: Callable[[], None] | None = None) -> DataFrame:
+    """All rows that a stream emits for now available data, with the batch they came in.
+
+    ending: called when all is read; it may add an end of the input to the stream's sources, from which the stream then
+    goes on where it stopped.
+    """
     spark = stream.sparkSession
-    path = work_dir(spark, "stream")
-    query = stream_to_files(stream, path, work_dir(spark, "stream-checkpoint"), mode)
-    query.awaitTermination()
+    path, checkpoint = work_dir(spark, "stream"), work_dir(spark, "stream-checkpoint")
+    stream_to_files(stream, path, checkpoint, mode).awaitTermination()
+    if ending is not None:
+        ending()
+        stream_to_files(stream, path, checkpoint, mode).awaitTermination()
     return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(path)
 
 

@@ -55,23 +55,21 @@ class TopN(StatefulProcessor):
         pass
 
 
-class AverageOfMaxima(StatefulProcessor):
-    """Per key the average of its items' maxima: a map item -> maximum, emitted with every batch."""
+class Rise(StatefulProcessor):
+    """(category, rise, item) whenever a key's highest price rises: by how much, and 1 the first time, else 0."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top, self.sum, self.n = Map(handle, "top", "long", "long"), Value(handle, "sum", "long"), Value(handle, "n", "long")
+        self.top = Value(handle, "top", "long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total, n = self.sum.get() or 0, self.n.get() or 0
+        was, category = self.top.get(), None
+        best = was
         for part in rows:
-            for item, value in part.groupby("item")["value"].max().items():
-                was = self.top.get(int(item))
-                if was is None or value > was:
-                    self.top.put(int(item), int(value))
-                    total, n = total + int(value) - (was or 0), n + (was is None)
-        self.sum.update(total)
-        self.n.update(n)
-        yield pd.DataFrame({"key": [key[0]], "average": [total // n], "items": [n]})
+            category = int(part["category"].iloc[0])
+            best = max([int(part["price"].max()), *([] if best is None else [best])])
+        if best is not None and best != was:
+            self.top.update(best)
+            yield pd.DataFrame({"category": [category], "rise": [best - (was or 0)], "item": [int(was is None)]})
 
     def close(self) -> None:
         pass

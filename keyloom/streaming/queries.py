@@ -1,22 +1,29 @@
 """Streaming twins: the queries of the suite over a stream of the same files, drained and read back.
 
-What is compared with the batch oracle is the final state: for outputs in update mode each key's last row.
+What is compared with the batch oracle is the final state: for outputs in update mode each key's last row. Twins that
+emit what event time has closed end their input: once all is read, a row of the time END is added to every timed
+source, which lifts the watermark over all that is open, as the end of a bounded source does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from keyloom.operators.running import running
 from keyloom.plans import auctions, patterns
 from keyloom.sources import views
 from keyloom.sources.generators import side_input
-from keyloom.sources.sinks import drained, work_dir
+from keyloom.sources.sinks import drained, stream_to_files, work_dir
 from keyloom.streaming import processors as P
 
 DELAY, CACHE = "4 seconds", "20 MINUTES"
+CACHE_SECONDS = 20 * 60
+#: The time of the row that ends an input; later than any event.
+END = "2200-01-01 00:00:00"
 #: The event-time column of each streamed table.
 TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 
@@ -40,6 +47,34 @@ def streamed(sf_dir: str, static: tuple[str, ...] = ("nation", "region")) -> vie
     return opened
 
 
+class Ended:
+    """Tables as streamed() gives them, with an end: ending() writes it to the folders that the streams read besides."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, static: tuple[str, ...] = ("nation", "region")):
+        self.spark, self.sf_dir, self.static, self.path = spark, sf_dir, static, work_dir(spark, "stream-end")
+        self.schemas: dict[str, T.StructType] = {}
+
+    def __call__(self, spark: SparkSession, name: str) -> DataFrame:
+        if name in self.static or name not in TIMES:
+            return streamed(self.sf_dir, self.static)(spark, name)
+        return self.timed(stream(spark, self.sf_dir, name), name, TIMES[name])
+
+    def timed(self, rows: DataFrame, name: str, time: str) -> DataFrame:
+        """A stream with its end and the suite's watermark."""
+        self.schemas[name] = T.StructType([T.StructField(f.name, f.dataType, True, {"time": f.name == time}) for f in rows.schema])
+        self.spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{self.path}/{name}")
+        end = self.spark.readStream.schema(rows.schema).parquet(f"{self.path}/{name}")
+        return rows.unionByName(end).withWatermark(time, DELAY)
+
+    def ending(self) -> None:
+        for name, schema in self.schemas.items():
+            row = [F.lit(END if f.metadata["time"] else None).cast(f.dataType).alias(f.name) for f in schema]
+            self.spark.range(1).select(*row).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def drained(self, rows: DataFrame) -> DataFrame:
+        return naive(drained(rows, "append", self.ending).drop("batch"))
+
+
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as bids."""
     return views.bid_ev(spark, streamed(sf_dir))
@@ -66,6 +101,17 @@ def appended(plan: Callable[[SparkSession, views.Tables], DataFrame]) -> Callabl
     return twin
 
 
+def ended(plan: Callable[[SparkSession, views.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """As appended, for plans that emit what event time has closed: the input has an end."""
+
+    def twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = Ended(spark, sf_dir)
+        return tables.drained(plan(spark, tables))
+
+    twin.__doc__ = plan.__doc__
+    return twin
+
+
 def updated(plan: Callable[[SparkSession, views.Tables], DataFrame], *keys: str) -> Callable[[SparkSession, str], DataFrame]:
     """The same for plans that end in an aggregate: the last state of every key."""
 
@@ -77,30 +123,32 @@ def updated(plan: Callable[[SparkSession, views.Tables], DataFrame], *keys: str)
 
 
 def s_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hottest auctions of each closed sliding window: counts, their maximum by window, joined on the window."""
-    counts = lambda: bids(spark, sf_dir).groupBy(F.window("dateTime", auctions.HOP, auctions.SLIDE), "auction").agg(F.count("*").alias("num"))
+    """Hottest auctions of each sliding window: counts, their maximum by window, joined on the window."""
+    tables = Ended(spark, sf_dir)
+    counts = lambda: views.bid_ev(spark, tables).groupBy(F.window("dateTime", auctions.HOP, auctions.SLIDE), "auction").agg(F.count("*").alias("num"))
     best = counts().groupBy("window").agg(F.max("num").alias("best")).withColumnRenamed("window", "w")
     rows = counts().join(best, F.col("window") == F.col("w")).where("num >= best")
-    return naive(drained(rows.select("auction", F.col("window.start").alias("starttime"), F.col("window.end").alias("endtime"), "num"), "append").drop("batch"))
+    return tables.drained(rows.select("auction", F.col("window.start").alias("starttime"), F.col("window.end").alias("endtime"), "num"))
 
 
 def s_q7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highest bids of each closed tumbling window: the stream joined with its windows' maxima on price and time."""
-    b = bids(spark, sf_dir)
-    top = bids(spark, sf_dir).groupBy(F.window("dateTime", auctions.TUMBLE).alias("w")).agg(F.max("price").alias("best"))
-    rows = b.join(top, (b.price == top.best) & (b.dateTime >= top.w.start) & (b.dateTime < top.w.end))
-    return naive(drained(rows.select("auction", "price", "bidder", F.col("dateTime").alias("dt"), "extra"), "append").drop("batch"))
+    """Highest bids of each tumbling window: the bids of each price, then those of the highest, by window."""
+    tables = Ended(spark, sf_dir)
+    bid = F.struct("auction", "price", "bidder", F.col("dateTime").cast("timestamp_ntz").alias("dt"), "extra")
+    prices = views.bid_ev(spark, tables).groupBy(F.window("dateTime", auctions.TUMBLE), "price").agg(F.collect_list(bid).alias("bids"))
+    best = prices.groupBy("window").agg(F.max_by("bids", "price").alias("bids"))
+    return tables.drained(best.select(F.explode("bids").alias("bid")).select("bid.*"))
 
 
 def s_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People who opened an auction in the window in which they came: two windowed streams joined."""
-    path = work_dir(spark, "people")
+    tables, path = Ended(spark, sf_dir), work_dir(spark, "people")
     views.people_since(spark, sf_dir).withColumn("dateTime", F.col("dateTime").cast("timestamp")).write.parquet(path)
-    people = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withWatermark("dateTime", DELAY)
+    people = tables.timed(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), "people", "dateTime")
     p = people.groupBy(F.window("dateTime", auctions.NEWCOMERS).alias("w"), "id", "name").agg(F.count("*").alias("n"))
-    a = views.auction(spark, streamed(sf_dir)).groupBy(F.window("dateTime", auctions.NEWCOMERS).alias("v"), "seller").agg(F.count("*").alias("m"))
+    a = views.auction(spark, tables).groupBy(F.window("dateTime", auctions.NEWCOMERS).alias("v"), "seller").agg(F.count("*").alias("m"))
     rows = p.join(a, (p.id == a.seller) & (p.w == a.v))
-    return naive(drained(rows.select("id", "name", F.col("w.start").alias("starttime")), "append").drop("batch"))
+    return tables.drained(rows.select("id", "name", F.col("w.start").alias("starttime")))
 
 
 def s_q9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +182,7 @@ def _q16(spark: SparkSession, tables: views.Tables) -> DataFrame:
 def s_q13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream-static lookup join."""
     b, side = bids(spark, sf_dir), side_input(spark)
-    rows = b.join(F.broadcast(side), b.auction == side.key).select("auction", "bidder", "price", F.col("dateTime").alias("dt"), "value")
+    rows = b.join(F.broadcast(side), b.auction % 10_000 == side.key).select("auction", "bidder", "price", F.col("dateTime").alias("dt"), "value")
     return naive(drained(rows, "append").drop("batch"))
 
 
@@ -153,21 +201,26 @@ def s_q19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join of two streams, then the average of the auctions' maxima by a stateful processor."""
+    """Interval join of two streams, then each auction's maximum as keyed state that tells by how much it rose; the
+    rises are summed by category, so no key holds more than an auction or a total."""
     tables = streamed(sf_dir)
     a, b = views.auction(spark, tables).alias("a"), views.bid(spark, tables).alias("b")
     rows = a.join(b, F.expr("a.id = b.auction AND b.dateTime BETWEEN a.dateTime AND a.expires"))
-    out = P.processed(rows.select("category", F.col("id").alias("item"), F.col("price").alias("value")), "category", P.AverageOfMaxima, "key long, average long, items long", "append")
-    last = last_of(drained(out, "append"), "key")
-    return last.select(F.col("key").alias("category"), F.col("average").alias("avg_price"))
+    rises = P.processed(rows.select("id", "category", "price"), "id", P.Rise, "category long, rise long, item long", "append")
+    path = work_dir(spark, "rises")
+    stream_to_files(rises, path, work_dir(spark, "stream-checkpoint"), "append").awaitTermination()
+    total = spark.readStream.schema("category long, rise long, item long").option("recursiveFileLookup", True).parquet(path).groupBy("category").agg(F.expr("sum(rise) div sum(item)").alias("avg_price"))
+    return last_of(drained(total), "category")
 
 
 def s_cep_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sudden drops of a bidder's prices, by a processor that matches rows once event time has passed them."""
+    tables = Ended(spark, sf_dir)
     pattern, _ = patterns.PATTERNS["cep_q3"]
-    rows = bids(spark, sf_dir).select("bidder", F.unix_micros("dateTime").alias("micros"), "event_id", "price")
+    # The end has no bidder; the condition names the time, so that it comes after the watermark.
+    rows = views.bid_ev(spark, tables).where(F.col("dateTime") < F.lit(END).cast("timestamp")).select("bidder", F.unix_micros("dateTime").alias("micros"), "event_id", "price")
     out = P.processed(rows, "bidder", lambda: P.Drops(pattern), "bidder long, micros long, drop_diff long", "append", "EventTime")
-    return naive(drained(out, "append").select("bidder", F.timestamp_micros("micros").alias("drop_time"), "drop_diff"))
+    return naive(tables.drained(out).select("bidder", F.timestamp_micros("micros").alias("drop_time"), "drop_diff"))
 
 
 def s_stateful_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +244,9 @@ def s_two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that event time has left idle, by event-time timers."""
-    b = stream(spark, sf_dir, "events").withWatermark("ts", DELAY).select("user_id", "ts", F.unix_millis("ts").alias("ms"))
-    return drained(P.processed(b, "user_id", P.Idle, "key long, last long", "append", "EventTime"), "append").drop("batch")
+    tables = Ended(spark, sf_dir)
+    rows = tables(spark, "events").where(F.col("ts") < F.lit(END).cast("timestamp")).select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    return tables.drained(P.processed(rows, "user_id", P.Idle, "key long, last long", "append", "EventTime"))
 
 
 def _two_sided(e: DataFrame) -> DataFrame:
@@ -205,7 +259,12 @@ def _two_sided(e: DataFrame) -> DataFrame:
         left, right = left.dropDuplicatesWithinWatermark(["left_id"]), right.dropDuplicatesWithinWatermark(["right_id"])
     else:
         left, right = left.dropDuplicates(["left_id"]), right.dropDuplicates(["right_id"])
-    near = F.expr(f"user = right_user AND right_ts >= left_ts - INTERVAL {CACHE} AND right_ts <= left_ts + INTERVAL {CACHE}")
+    # Times in pieces of the cache's length: a right event meets the pieces on both sides of its own, so that no user is
+    # one task's work.
+    piece = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / CACHE_SECONDS)
+    left = left.withColumn("piece", piece("left_ts"))
+    right = right.withColumn("right_piece", F.explode(F.array(*[piece("right_ts") + k for k in (-1, 0, 1)])))
+    near = F.expr(f"user = right_user AND piece = right_piece AND right_ts >= left_ts - INTERVAL {CACHE} AND right_ts <= left_ts + INTERVAL {CACHE}")
     return left.join(right, near).select("user", "left_id", "right_id")
 
 
@@ -222,18 +281,45 @@ def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running count of every word, batch."""
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return views.table(spark, sf_dir, "events").select(F.col("event_type").alias("word"), "event_id", F.count("*").over(w).alias("running"))
+    """Running count of every word, batch; words are few, so their rows run in blocks of sequence numbers."""
+    rows = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("sequence"), F.lit(0).alias("branch"))
+    return running(rows, {"running": "1"}).select(F.col("key").alias("word"), F.col("sequence").alias("event_id"), "running")
+
+
+def processing_windows(rows: DataFrame, keys: list[str], size: str, slide: str | None = None, clock: str | None = None) -> DataFrame:
+    """Counts by keys and window of processing time (tumbling, or sliding with a slide), in a stream or a batch.
+
+    A stream reads the clock once a batch; a window is over when a later batch has begun after it. clock names a column
+    (in a stream, one with a watermark) that stands in for the clock, so that a result can be told beforehand.
+    """
+    if clock is None:
+        clock, rows = "clock", rows.withColumn("clock", F.current_timestamp())
+        rows = rows.withWatermark(clock, "0 seconds") if rows.isStreaming else rows
+    window = F.window(clock, size, slide) if slide else F.window(clock, size)
+    out = rows.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
+    return out.select(*keys, F.col("w.start").alias("starttime"), F.col("w.end").alias("endtime"), "n")
+
+
+def s_q12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bids per bidder and tumbling window of processing time, with the event's time as the clock."""
+    tables = Ended(spark, sf_dir)
+    out = processing_windows(views.bid_ev(spark, tables), ["bidder"], auctions.TUMBLE, clock="dateTime")
+    return tables.drained(out).withColumnRenamed("n", "bid_count")
+
+
+def s_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding counts of words by processing time, with the event's time as the clock."""
+    tables = Ended(spark, sf_dir)
+    rows = tables(spark, "events").select(F.col("event_type").alias("word"), "ts")
+    return tables.drained(processing_windows(rows, ["word"], "5 hours", "12 minutes", "ts"))
 
 
 STREAMED = ("q0", "q1", "q2", "q3", "q10", "q14", "q20", "q21", "q22")
-OWN = (s_q4, s_q5, s_q7, s_q8, s_q9, s_q13, s_q18, s_q19, s_cep_q3, s_running_count, s_two_sides, s_idle, s_stateful_map)
+OWN = (s_q4, s_q5, s_q7, s_q8, s_q9, s_q13, s_q12, s_q18, s_q19, s_word_windows, s_cep_q3, s_running_count, s_two_sides, s_idle, s_stateful_map)
 QUERIES = {
     **{f"stream_{n}": appended(getattr(auctions, n)) for n in STREAMED},
     "stream_q5_steady": updated(auctions.q5_steady, "auction", "starttime", "endtime"),
-    "stream_q11": appended(auctions.q11),
-    "stream_q12": updated(auctions.q12, "bidder", "starttime", "endtime"),
+    "stream_q11": ended(auctions.q11),
     "stream_q15": updated(_q15, "day"),
     "stream_q16": updated(_q16, "channel", "day"),
     "stream_q17": updated(auctions.q17, "auction", "day"),
@@ -244,23 +330,20 @@ QUERIES = {
     "running_words": running_words,
 }
 _NEAR = f"SELECT a.user_id AS user, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND b.ts BETWEEN a.ts - INTERVAL {CACHE} AND a.ts + INTERVAL {CACHE}"
-_CLOSED = "(SELECT max(ts) - INTERVAL 4 SECONDS FROM events)"
 _BE = auctions.BID_EV
+_WORDS = f"SELECT word, s AS starttime, s + INTERVAL 5 HOURS AS endtime, count(*) AS n FROM (SELECT event_type AS word, time_bucket(INTERVAL 12 MINUTES, ts, {auctions.EPOCH}) - to_minutes(12 * k) AS s FROM events, (SELECT unnest(range(25)) AS k)) GROUP BY word, s"
 ORACLE_SQL = {
-    **{f"stream_{n}": auctions.ORACLE_SQL[n] for n in (*STREAMED, "q4", "q5_steady", "q9", "q12", "q15", "q16", "q17")},
-    "stream_q5": f"SELECT * FROM ({auctions.ORACLE_SQL['q5']}) WHERE endtime <= {_CLOSED}",
-    "stream_q7": f"SELECT * FROM ({auctions.ORACLE_SQL['q7']}) WHERE time_bucket(INTERVAL 10 HOURS, dt, {auctions.EPOCH}) + INTERVAL 10 HOURS <= {_CLOSED}",
-    "stream_q8": f"SELECT * FROM ({auctions.ORACLE_SQL['q8']}) WHERE starttime + INTERVAL 30 DAYS <= (SELECT least(max(o_orderdate), (SELECT max(f) FROM (SELECT min(o_orderdate) - INTERVAL 20 DAYS AS f FROM orders GROUP BY o_custkey))) - INTERVAL 4 SECONDS FROM orders)",
-    "stream_q11": f"SELECT * FROM ({auctions.ORACLE_SQL['q11']}) WHERE endtime <= {_CLOSED}",
-    "stream_q13": f"SELECT auction, bidder, price, dt, CAST(auction AS VARCHAR) AS value FROM {_BE}",
+    **{f"stream_{n}": auctions.ORACLE_SQL[n] for n in (*STREAMED, "q4", "q5", "q5_steady", "q7", "q8", "q9", "q11", "q12", "q15", "q16", "q17")},
+    "stream_q13": f"SELECT auction, bidder, price, dt, CAST(auction % 10000 AS VARCHAR) AS value FROM {_BE}",
     "stream_q18": f"SELECT bidder, auction, price, dt, extra FROM {_BE} QUALIFY row_number() OVER (PARTITION BY bidder, auction ORDER BY dt DESC, event_id DESC) = 1",
     "stream_q19": f"SELECT auction, event_id, price, row_number() OVER (PARTITION BY auction ORDER BY price DESC, event_id) AS rank_number FROM {_BE} QUALIFY rank_number <= 10",
     "client_join": _NEAR,
     "stream_client_join": _NEAR,
     "stream_running_count": "SELECT user_id AS key, event_id AS sequence, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events",
-    "stream_cep_q3": patterns.drops_sql(f"a.t + INTERVAL 10 HOURS <= {_CLOSED}"),
+    "stream_cep_q3": patterns.ORACLE_SQL["cep_q3"],
     "stream_stateful_map": "SELECT user_id AS key, event_id AS sequence FROM events",
-    "stream_idle": f"SELECT user_id AS key, max(epoch_us(ts)) // 1000 AS last FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 6 HOURS <= {_CLOSED}",
-    "word_windows": f"SELECT word, s AS starttime, s + INTERVAL 5 HOURS AS endtime, count(*) AS n FROM (SELECT event_type AS word, time_bucket(INTERVAL 12 MINUTES, ts, {auctions.EPOCH}) - to_minutes(12 * k) AS s FROM events, (SELECT unnest(range(25)) AS k)) GROUP BY word, s",
+    "stream_idle": "SELECT user_id AS key, max(epoch_us(ts)) // 1000 AS last FROM events GROUP BY 1",
+    "word_windows": _WORDS,
+    "stream_word_windows": _WORDS,
     "running_words": "SELECT event_type AS word, event_id, count(*) OVER (PARTITION BY event_type ORDER BY event_id) AS running FROM events",
 }

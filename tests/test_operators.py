@@ -15,8 +15,8 @@ from keyloom.operators import recurrent as R
 from keyloom.operators.aggregates import Aggregate, aggregated, reducing
 from keyloom.operators.lookups import looked_up
 from keyloom.operators.modules import COLUMNS, MODULES
-from keyloom.operators.patterns import Pattern, match_recognize, matches
-from keyloom.operators.running import running
+from keyloom.operators.patterns import Pattern, Rows, match_recognize, matches
+from keyloom.operators.running import running, running_in_key
 from keyloom.plans import applications
 from keyloom.sources import sinks
 
@@ -68,6 +68,31 @@ def test_running_totals_of_a_hot_key(spark, block):
         last[key] = aux
 
 
+def test_running_totals_in_one_window_are_the_same(spark):
+    df = spark.createDataFrame([(k, m - 500, a, c, s, b) for k, m, a, c, s, b in rows(5)], LONGS).repartition(4)
+    for n, m in MODULES.items():
+        one, other = (sorted(map(tuple, m.apply(df, spread=spread).collect())) for spread in (True, False))
+        assert one == other, n
+    assert sorted(map(tuple, running(df, {"s": "metric"}, block=16, wrap=True).collect())) == sorted(map(tuple, running_in_key(df, {"s": "metric"}, wrap=True).collect()))
+
+
+def test_remainders_are_not_negative(spark):
+    df = spark.createDataFrame([(1, -7, -3, 1, 0, 0)], LONGS)
+    got = {n: tuple(MODULES[n].apply(df).first())[:3] for n in ("geo_finder", "map_match", "geo_status", "encr", "toll_notification", "daily_expenses", "rcrf")}
+    assert got == {
+        "geo_finder": (1, 241, 4002), "map_match": (780, -7, -220), "geo_status": (1, 1, 1), "encr": (1, 4, 0), "toll_notification": (1, 18, 0), "daily_expenses": (1, 40, -7), "rcrf": (1, 1, 0),
+    }
+
+
+def test_applications_of_hot_keys_are_the_same(spark, sf_dir, monkeypatch):
+    """With keys over a block, operators spread them and write rows in between; results don't change."""
+    source = applications.rows(spark, sf_dir).where("sequence < 200")
+    names = ("app_lg", "app_vs", "app_lr_plain", "app_sd")
+    want = {n: sorted(map(tuple, applications.APPLICATIONS[n](applications.Spark(), source).collect())) for n in names}
+    monkeypatch.setattr(applications, "BLOCK", 2)
+    assert {n: sorted(map(tuple, applications.APPLICATIONS[n](applications.Spark(), source).collect())) for n in names} == want
+
+
 def test_running_sums_wrap(spark):
     big = (1 << 63) - 1
     df = spark.createDataFrame([(1, big, 0, 0, i, 0) for i in range(3)], LONGS)
@@ -119,6 +144,37 @@ def test_patterns_within_a_time_and_by_key(spark):
     assert match_recognize(df.limit(0), ["k"], "t", pattern, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).count() == 0
 
 
+@pytest.mark.parametrize("skip", ["past_last", "next_row", "to_last B"])
+def test_patterns_over_pieces_of_a_key(skip):
+    """Rows that come piece by piece give the same matches, and no more are held than an open match needs."""
+    rng = random.Random(6)
+    define = {"A": lambda r, b: r["v"] == "a", "B": lambda r, b: r["v"] == "b", "C": lambda r, b: r["v"] in "bc"}
+    pattern = Pattern((("A", ""), ("B", "+"), ("C", "")), lambda b: tuple(r["t"] for n in "ABC" for r in b[n]), define, skip)
+    for _ in range(60):
+        data = [{"t": i, "v": rng.choice("aabbbc")} for i in range(40)]
+        held, got, at = [], [], 0
+        while at < len(data):
+            step = rng.randint(1, 6)
+            held += data[at : at + step]
+            at += step
+            got += matches(held, pattern, "t", False)
+            assert not held or held[0]["v"] == "a"
+        got += matches(held, pattern, "t")
+        assert got == list(matches(list(data), pattern, "t")) and not held
+
+
+def test_bound_rows_keep_totals():
+    rng, bound, plain = random.Random(8), Rows(), []
+    for _ in range(200):
+        if plain and rng.random() < 0.4:
+            assert bound.pop() == plain.pop()
+        else:
+            row = {"p": rng.randrange(9)}
+            bound.append(row)
+            plain.append(row)
+        assert bound.total("p") == sum(r["p"] for r in plain)
+
+
 def test_v_shapes_by_hand(spark):
     from keyloom.plans.patterns import V_SHAPE
 
