@@ -2,13 +2,15 @@
 
 A layout is known by its fingerprint, the hash of its sorted nested field paths; the fingerprint selects a
 declarative mapping (where the turns are, which field holds role and text, or which fields are turns of
-their own). Formatting is a pure function of a turn, so a conversation of any length streams through a task.
+their own), for JSON records and for tables with a row a turn alike. Formatting is a pure function of a turn, so a conversation of any length streams through a task.
 
 Template: <|im_start|>role LF text <|im_end|> LF. Inside roles and texts every "<|" becomes "<\\u200b|" after
 each run of zero-width spaces between "<" and "|" has grown by one, which unescaping undoes exactly.
 
 Defined results: a null text or role counts as empty; rows of a conversation are ordered by turn (nulls
-first), then role and text; repeated rows are turns of their own; a null conversation id is one conversation.
+first), then role and text; repeated rows are turns of their own; a null conversation id is one conversation. An empty
+table has no conversations. Columns of other names than a layout's fields, conv_id and turn make another layout, which
+is refused unless a mapping knows it. A turn's text of any length is one part.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def loss_spans(formatted: str) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a layout becomes turns: a list of records under `turns`, or single fields, each with its role."""
+    """How a layout becomes turns: a list of records under `turns`, single fields, each with its role, or (with neither)
+    the record itself as one turn."""
 
     turns: str = ""
     role: str = ""
@@ -77,6 +80,9 @@ LAYOUTS = (
     (("system", "prompt", "response"), Mapping(fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")))),
     (("instruction", "output"), Mapping(fields=(("user", "instruction"), ("assistant", "output")))),
     (("instruction", "input", "output"), Mapping(fields=(("user", "instruction"), ("user", "input"), ("assistant", "output")))),
+    (("role", "text"), Mapping(role="role", text="text")),
+    (("role", "content"), Mapping(role="role", text="content")),
+    (("from", "value"), Mapping(role="from", text="value")),
     (("question", "answer"), Mapping(fields=(("user", "question"), ("assistant", "answer")))),
 )
 
@@ -116,8 +122,9 @@ def canonical_turns(record: dict, mappings: dict[str, Mapping] = MAPPINGS) -> li
     mapping = mappings.get(fingerprint(field_paths(record)))
     if mapping is None:
         return None
-    if mapping.turns:
-        return [(ROLES.get(t[mapping.role], t[mapping.role]) or "", t[mapping.text] or "") for t in record[mapping.turns]]
+    if mapping.role:
+        turns = record[mapping.turns] if mapping.turns else [record]
+        return [(ROLES.get(t[mapping.role], t[mapping.role]) or "", t[mapping.text] or "") for t in turns]
     return [(role, record[f] or "") for role, f in mapping.fields if record[f] or f not in ("input", "system")]
 
 
@@ -154,13 +161,13 @@ def turns_of_records(df: DataFrame, record: str, conv_id: str) -> DataFrame:
 def turns_of_columns(df: DataFrame) -> DataFrame:
     """df's turns, one row each, as conv_id, turn, role, text: its schema's fingerprint selects the mapping."""
     paths = [p for p in schema_paths(df.select(*[c for c in df.columns if c not in ("conv_id", "turn")]).schema)]
-    mapping = {fingerprint(("role", "text")): ("role", "text"), fingerprint(("role", "content")): ("role", "content"), fingerprint(("from", "value")): ("from", "value")}.get(fingerprint(paths))
-    if mapping is None:
-        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    mapping = MAPPINGS.get(fingerprint(paths))
+    if mapping is None or mapping.turns or not mapping.role:
+        raise ValueError(f"no mapping of a turn a row for the layout {sorted(paths)}")
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    role = F.col(mapping[0])
-    role = F.coalesce(known[role], role) if mapping[0] == "from" else role
-    return df.select("conv_id", "turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(F.col(mapping[1]), F.lit("")).alias("text"))
+    role = F.col(mapping.role)
+    role = F.coalesce(known[role], role) if mapping.role == "from" else role
+    return df.select("conv_id", "turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(F.col(mapping.text), F.lit("")).alias("text"))
 
 
 FORMATTED = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("formatted", T.StringType())])

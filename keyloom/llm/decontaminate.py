@@ -11,12 +11,14 @@ Words are runs of letters, marks and digits, lower-cased. An item of one to four
 all its words; one without words is held by nothing.
 
 Defined results: null texts are empty; rows that share a doc_id (null is one id too) are one document as to
-results, with the best containment of its rows; repeated items are items of their own.
+results, with the best containment of its rows; repeated items are items of their own. An item in many documents, or a
+document with many items, is a row each. Without documents or without items nothing is found, so nothing goes. Other
+columns of the inputs are left out of the result, and passed on by without_items, whatever their names. Texts of any
+length are searched whole.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -5,10 +5,13 @@ words of the text's own. Compiled, it is an automaton over words; a text is acce
 words there run through all mandatory wording in order, with only optional and replaceable regions differing.
 
 Short licenses (MIT, ISC, BSD, Unlicense) are templates of their whole wording, labelled NAME-text: a text that
-alters or lacks one mandatory word, or has others put in, isn't accepted. All other labels are of notices, titles
-and identifiers that name a license, and say nothing about the wording of a license text.
+alters or lacks one mandatory word, or has others put in, isn't accepted. Long ones (Apache, GPL, MPL and the like)
+are compiled by whole_texts() from their texts, which a parameter brings along. All other labels are of notices,
+titles and identifiers that name a license, and say nothing about the wording of a license text.
 
-Defined results: a null or empty text has no words, no labels and score 0. Overlapping places all count.
+Defined results: a null or empty text has no words, no labels and score 0. Overlapping places all count. Rows are
+scanned one by one: repeated rows give equal results, an empty table gives an empty one. Texts of any length are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -157,6 +160,13 @@ def compiled(template: str) -> Automaton:
     return Automaton(tuple(map(tuple, steps)), here, tuple(map(tuple, skips)))
 
 
+def whole_texts(texts: dict[str, str]) -> dict[str, list[str]]:
+    """Templates of whole license texts by label; they may hold the markup of templates, all other wording is mandatory."""
+    pieces = {label: re.findall(r"<<[^>]*>>|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text) for label, text in texts.items()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return {label: [" ".join(p if p.startswith("<<") else p.translate(lower) for p in found)] for label, found in pieces.items()}
+
+
 class Scanner:
     """Compiled templates and phrases; built anew in every task from the two tables."""
 

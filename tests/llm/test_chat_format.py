@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,3 +54,16 @@ def test_layouts(spark):
         assert [(r.role, r.text) for r in sorted((r for r in rows if r.conv_id == i), key=lambda r: r.turn)] == [("user", "q"), ("assistant", "a")]
     rest = {r.conv_id: r for r in rows if r.conv_id >= 10}
     assert all(r.turn is None and r.text is None for r in rest.values()) and rest[12].layout and not rest[11].layout
+
+
+def test_layouts_of_tables(spark):
+    """A table's layout is known by the same fingerprints as a record's; other columns make another layout."""
+    for fields, role in (("role string, text string", "human"), ("role string, content string", "human"), ("from string, value string", "user")):
+        rows = C.turns_of_columns(spark.createDataFrame([(1, 0, "human", "q"), (1, 1, None, None)], f"conv_id long, turn long, {fields}")).collect()
+        assert sorted((r.turn, r.role, r.text) for r in rows) == [(0, role, "q"), (1, "", "")]
+    for fields in ("role string, text string, note string", "prompt string, completion string"):
+        with pytest.raises(ValueError, match="no mapping"):
+            C.turns_of_columns(spark.createDataFrame([], f"conv_id long, turn long, {fields}"))
+    empty = C.turns_of_columns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert C.read_back(C.chat_format(empty)).count() == 0
+    assert C.canonical_turns({"from": "human", "value": "q"}) == [("user", "q")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import re
 
 import pytest
@@ -114,3 +116,24 @@ def test_own_templates_and_overlaps(spark):
     rows = {r.text: r for r in L.license_scan(df, templates={"t": ["a <<var 2>> b"]}, phrases={"a a": "aa"}).collect()}
     assert (rows["x a a a b y"].n_base, rows["x a a a b y"].first_word, rows["x a a a b y"].last_word) == (2, 1, 2)
     assert [rows[t].labels for t in ("x a a a b y", "a c c b", "a c c c b")] == ["aa,t", "t", ""]
+
+
+FOLDER = pathlib.Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not (FOLDER / "GPL-3").exists(), reason="no license texts here")
+def test_whole_texts_of_long_licenses(spark):
+    """A long license is accepted by its whole wording alone, however it is wrapped; one altered word refuses it."""
+    names = ["Apache-2.0", "GPL-2", "GPL-3", "MPL-2.0"]
+    texts = {f"{n.lower()}-text": (FOLDER / n).read_text() for n in names}
+    templates = L.whole_texts(texts) | {"marked-text": ["copyright <<var 3>> do no <<optional>> wilful <<end>> evil"]}
+    rows = []
+    for label, text in texts.items():
+        words = text.split()
+        altered = [*words[:-20], "not", *words[-19:]]
+        lacking = words[: len(words) // 2] + words[len(words) // 2 + 1 :]
+        rows += [(label, True, "before " + text + " after"), (label, True, " ".join(words)), (label, False, " ".join(altered)), (label, False, " ".join(lacking))]
+    rows += [("marked-text", True, "Copyright A. B: do no evil!"), ("marked-text", False, "Copyright A. B: do no great evil!")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, label string, whole boolean, text string")
+    got = L.license_scan(df, templates=templates).collect()
+    assert [(r.k, r.label in r.labels.split(",")) for r in sorted(got, key=lambda r: r.k)] == [(k, r[1]) for k, r in enumerate(rows)]
