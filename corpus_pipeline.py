@@ -1,6 +1,15 @@
 """The training-text pipeline: stages over documents, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return docs' columns.
+
+Defined results: a null or empty text has fewer than ten words, so the first stage rejects it; so it does an empty
+table's nothing, and every stage of an empty table is empty. Rows that share a doc_id are one document to the second and
+third stage (null is one id to the third; to the second, rows without an id link but all stay), so they go together;
+rows that are equal have equal results in every stage. Columns besides doc_id and text are passed on, whatever their
+names. Texts of any length are worked on whole. The second stage keeps the smallest doc_id of a group.
+
+The first stage rejects documents and leaves the texts of the others whole: what the rules would cut out of a kept
+document (the operator's column `cleaned`) stays, since the next stages compare and scan documents as they came.
 """
 
 from __future__ import annotations
@@ -9,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, secret_scan
-from keyloom.llm.shared import written
+from keyloom.llm.shared import removed, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents; every stage but the last is written and read again."""
+    """The stages one after another over documents; every stage but the last is written and read again, until the next is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        done, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            removed(done)
     return STAGES[-1][1](spark, docs, sf_dir)
