@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,3 +16,8 @@ def state_entries(spark: SparkSession, checkpoint: str, state: str, operator: in
 def state_keys(spark: SparkSession, checkpoint: str, state: str, operator: int = 0) -> DataFrame:
     """The keys that have a value in a named state."""
     return state_entries(spark, checkpoint, state, operator).select(F.col("key.*")).distinct()
+
+
+def applied_to_all_keys(spark: SparkSession, checkpoint: str, state: str, function: Callable[[Column], Column], operator: int = 0) -> DataFrame:
+    """(key's columns, value): a function of the value of a named state, for every key that has one."""
+    return state_entries(spark, checkpoint, state, operator).select("key.*", function(F.col("value.value")).alias("value"))

@@ -67,9 +67,10 @@ class Ended:
         return rows.unionByName(end).withWatermark(time, DELAY)
 
     def ending(self) -> None:
-        for name, schema in self.schemas.items():
-            row = [F.lit(END if f.metadata["time"] else None).cast(f.dataType).alias(f.name) for f in schema]
-            self.spark.range(1).select(*row).write.mode("append").parquet(f"{self.path}/{name}")
+        """Whole numbers of an end are negative, of every table others: joins drop null keys before a watermark sees the row."""
+        for k, (name, schema) in enumerate(self.schemas.items()):
+            value = lambda f: END if f.metadata["time"] else -1 - k if isinstance(f.dataType, T.IntegralType) else None  # noqa: B023, E731
+            self.spark.range(1).select(*[F.lit(value(f)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(f"{self.path}/{name}")
 
     def drained(self, rows: DataFrame) -> DataFrame:
         return naive(drained(rows, "append", self.ending).drop("batch"))
@@ -213,11 +214,34 @@ def s_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_of(drained(total), "category")
 
 
+def s_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average price of a seller's last eleven closed auctions: winners by timers at the auctions' ends, then by seller."""
+    tables, path = Ended(spark, sf_dir), work_dir(spark, "winners")
+    a, b = views.auction(spark, tables).alias("a"), views.bid(spark, tables).alias("b")
+    rows = a.join(b, F.expr("a.id = b.auction AND b.dateTime BETWEEN a.dateTime AND a.expires"))
+    micros = lambda c: F.unix_micros(F.col(c))
+    rows = rows.select("a.id", "a.seller", "b.bidder", "b.price", F.col("b.dateTime").alias("at"), micros("b.dateTime").alias("micros"), micros("a.expires").alias("expires"))
+    tables.drained(P.processed(rows, "id", P.Closing, "seller long, id long, price long, micros long", "append", "EventTime")).write.parquet(path)
+    sellers = Ended(spark, sf_dir)
+    winners = spark.readStream.schema("seller long, id long, price long, micros long").parquet(path).withColumn("at", F.timestamp_micros("micros"))
+    timed = sellers.timed(winners, "winners", "at").where(F.col("at") < F.lit(END).cast("timestamp"))
+    out = P.processed(timed, "seller", lambda: P.LastClosed(views.OPEN_DAYS * 86_400_000), "seller long, id long, avg_price long", "append", "EventTime")
+    return sellers.drained(out)
+
+
+def multiple_inputs(spark: SparkSession, policy: str = "min") -> None:
+    """How a stream of several timed inputs takes its watermark: from the slowest of them ('min', so that none of their rows
+    is late for another's sake), or from the fastest ('max'). Set before the stream starts."""
+    if policy not in ("min", "max"):
+        raise ValueError("the policy is min or max")
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", policy)
+
+
 def s_cep_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sudden drops of a bidder's prices, by a processor that matches rows once event time has passed them."""
     tables = Ended(spark, sf_dir)
     pattern, _ = patterns.PATTERNS["cep_q3"]
-    # The end has no bidder; the condition names the time, so that it comes after the watermark.
+    # Without the end; the condition names the time, so that it comes after the watermark.
     rows = views.bid_ev(spark, tables).where(F.col("dateTime") < F.lit(END).cast("timestamp")).select("bidder", F.unix_micros("dateTime").alias("micros"), "event_id", "price")
     out = P.processed(rows, "bidder", lambda: P.Drops(pattern), "bidder long, micros long, drop_diff long", "append", "EventTime")
     return naive(tables.drained(out).select("bidder", F.timestamp_micros("micros").alias("drop_time"), "drop_diff"))
@@ -315,7 +339,7 @@ def s_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAMED = ("q0", "q1", "q2", "q3", "q10", "q14", "q20", "q21", "q22")
-OWN = (s_q4, s_q5, s_q7, s_q8, s_q9, s_q13, s_q12, s_q18, s_q19, s_word_windows, s_cep_q3, s_running_count, s_two_sides, s_idle, s_stateful_map)
+OWN = (s_q4, s_q5, s_q6, s_q7, s_q8, s_q9, s_q13, s_q12, s_q18, s_q19, s_word_windows, s_cep_q3, s_running_count, s_two_sides, s_idle, s_stateful_map)
 QUERIES = {
     **{f"stream_{n}": appended(getattr(auctions, n)) for n in STREAMED},
     "stream_q5_steady": updated(auctions.q5_steady, "auction", "starttime", "endtime"),
@@ -333,7 +357,7 @@ _NEAR = f"SELECT a.user_id AS user, a.event_id AS left_id, b.event_id AS right_i
 _BE = auctions.BID_EV
 _WORDS = f"SELECT word, s AS starttime, s + INTERVAL 5 HOURS AS endtime, count(*) AS n FROM (SELECT event_type AS word, time_bucket(INTERVAL 12 MINUTES, ts, {auctions.EPOCH}) - to_minutes(12 * k) AS s FROM events, (SELECT unnest(range(25)) AS k)) GROUP BY word, s"
 ORACLE_SQL = {
-    **{f"stream_{n}": auctions.ORACLE_SQL[n] for n in (*STREAMED, "q4", "q5", "q5_steady", "q7", "q8", "q9", "q11", "q12", "q15", "q16", "q17")},
+    **{f"stream_{n}": auctions.ORACLE_SQL[n] for n in (*STREAMED, "q4", "q5", "q5_steady", "q6", "q7", "q8", "q9", "q11", "q12", "q15", "q16", "q17")},
     "stream_q13": f"SELECT auction, bidder, price, dt, CAST(auction % 10000 AS VARCHAR) AS value FROM {_BE}",
     "stream_q18": f"SELECT bidder, auction, price, dt, extra FROM {_BE} QUALIFY row_number() OVER (PARTITION BY bidder, auction ORDER BY dt DESC, event_id DESC) = 1",
     "stream_q19": f"SELECT auction, event_id, price, row_number() OVER (PARTITION BY auction ORDER BY price DESC, event_id) AS rank_number FROM {_BE} QUALIFY rank_number <= 10",

@@ -2,7 +2,8 @@
 
 Value: get() is None when absent, update(None) clears. List: no None, neither as list nor as element;
 update([]) clears, add_all([]) does nothing. Map: None values are kept and contained; put_all(None) does
-nothing. Reducing and aggregating state refuse None. add_and_get counts from 0.
+nothing. Reducing and aggregating state refuse None. add_and_get counts from 0. With a time to live a value goes that
+long after it was last written or, with read_refreshes, last read.
 """
 
 from __future__ import annotations
@@ -14,11 +15,17 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 
 
 class Value:
-    def __init__(self, handle: StatefulProcessorHandle, name: str, kind: str, ttl_ms: int | None = None):
+    def __init__(self, handle: StatefulProcessorHandle, name: str, kind: str, ttl_ms: int | None = None, read_refreshes: bool = False):
         self._state = handle.getValueState(name, f"value {kind}", ttl_ms) if ttl_ms else handle.getValueState(name, f"value {kind}")
+        self._refreshes = read_refreshes
 
     def get(self) -> Any:
-        return self._state.get()[0] if self._state.exists() else None
+        if not self._state.exists():
+            return None
+        value = self._state.get()[0]
+        if self._refreshes:
+            self._state.update((value,))
+        return value
 
     def update(self, value: Any) -> None:
         self._state.clear() if value is None else self._state.update((value,))
@@ -56,12 +63,18 @@ class List:
 
 
 class Map:
-    def __init__(self, handle: StatefulProcessorHandle, name: str, key_kind: str, kind: str, ttl_ms: int | None = None):
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key_kind: str, kind: str, ttl_ms: int | None = None, read_refreshes: bool = False):
         args = (name, f"key {key_kind}", f"value {kind}")
         self._state = handle.getMapState(*args, ttl_ms) if ttl_ms else handle.getMapState(*args)
+        self._refreshes = read_refreshes
 
     def get(self, key: Any) -> Any:
-        return self._state.getValue((key,))[0] if self._state.containsKey((key,)) else None
+        if not self._state.containsKey((key,)):
+            return None
+        value = self._state.getValue((key,))[0]
+        if self._refreshes:
+            self._state.updateValue((key,), (value,))
+        return value
 
     def put(self, key: Any, value: Any) -> None:
         self._state.updateValue((key,), (value,))

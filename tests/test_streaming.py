@@ -115,6 +115,7 @@ def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
     assert got == {(i % 4, i): i // 4 + 1 for i in range(120)}
     assert sorted(r.key for r in inspection.state_keys(spark, check, "n").collect()) == [0, 1, 2, 3]
     assert {r.key[0]: r.value[0] for r in inspection.state_entries(spark, check, "n").collect()} == dict.fromkeys(range(4), 30)
+    assert {r.key: r.value for r in inspection.applied_to_all_keys(spark, check, "n", lambda n: n * 2).collect()} == dict.fromkeys(range(4), 60)
 
 
 class Expiring(StatefulProcessor):
@@ -215,3 +216,56 @@ def test_processing_time_windows(spark, tmp_path):
     assert len({r.starttime for r in found}) == 2 and all(r.endtime - r.starttime == timedelta(seconds=2) for r in found)
     batch = Q.processing_windows(spark.range(5).withColumn("word", F.lit("w")), ["word"], "1 day").collect()
     assert [r.n for r in batch] == [5]
+
+
+class Clocked:
+    """A state handle whose clock the test sets; values expire as they do with a time to live."""
+
+    def __init__(self) -> None:
+        self.now, self.held = 0, {}
+
+    def getValueState(self, name, schema, ttl_ms=None):  # noqa: N802
+        handle = self
+
+        class State:
+            def exists(self) -> bool:
+                return name in handle.held and handle.now < handle.held[name][1] + ttl_ms
+
+            def get(self):
+                return handle.held[name][0]
+
+            def update(self, value) -> None:
+                handle.held[name] = (value, handle.now)
+
+        return State()
+
+
+@pytest.mark.parametrize(("refreshes", "want"), [(False, [1, 1, None]), (True, [1, 1, 1])])
+def test_time_to_live_counts_from_the_last_write_or_read(refreshes, want):
+    handle = Clocked()
+    value = Value(handle, "v", "long", ttl_ms=10, read_refreshes=refreshes)
+    value.update(1)
+    seen = []
+    for now in (4, 9, 14):
+        handle.now = now
+        seen.append(value.get())
+    assert seen == want
+    handle.now = 60
+    assert value.get() is None
+
+
+@pytest.mark.parametrize(("policy", "closed"), [("min", set()), ("max", {("fast", 0), ("slow", 0)})])
+def test_watermark_of_several_inputs(spark, tmp_path, policy, closed):
+    """By default the slowest input holds windows open; the fastest closes them if asked to."""
+    for name, last in (("fast", 600), ("slow", 5)):
+        words(spark, str(tmp_path / name), [(name, 1), (name, last)])
+    one, other = (spark.readStream.schema("word string, t timestamp").parquet(str(tmp_path / n)).withWatermark("t", "0 seconds") for n in ("fast", "slow"))
+    counts = one.unionByName(other).groupBy(F.window("t", "10 seconds"), "word").count().select("word", (F.unix_seconds("window.start") % 60).alias("start"))
+    Q.multiple_inputs(spark, policy)
+    try:
+        got = {(r.word, r.start) for r in sinks.drained(counts, "append").collect()}
+    finally:
+        Q.multiple_inputs(spark)
+    assert got == closed
+    with pytest.raises(ValueError, match="min or max"):
+        Q.multiple_inputs(spark, "mean")
