@@ -3,7 +3,8 @@
 A slice of texts becomes one array of code-point classes. Where a piece begins depends on the classes
 nearby and on whether an apostrophe opened a contraction; the latter is a four-state automaton, whose
 per-character transition functions are composed by an associative scan. Pieces are cut out of the UTF-8
-bytes, distinct ones merged once (and kept in a bounded cache), and every token keeps its end offset.
+bytes, distinct ones merged once (side by side, a pair of each a round, and kept in a bounded cache), and every
+token keeps its end offset.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes. Texts of any length are
 encoded whole; a long piece is merged with a heap in n log n steps. Pieces are told apart by their bytes.
@@ -32,9 +33,10 @@ CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 # White space in Unicode.
 WHITE = (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Distinct pieces whose tokens a Python worker keeps; beyond, the cache starts anew.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
 #: Pieces of more bytes than this are merged with a heap.
 LONG_PIECE = 48
+NO_TOKEN = 1 << 40
 
 
 @cache
@@ -136,37 +138,80 @@ class Merger:
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.vocabulary[i] = token
+        self.names = [str(i) for i in range(len(self.vocabulary))]
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # Every pair of tokens that together are a token, sorted by a number for the pair, and that token.
+        size = len(self.vocabulary)
+        pairs = {self.ranks[a] * size + self.ranks[b]: i for token, i in self.ranks.items() for k in range(1, len(token)) if (a := token[:k]) in self.ranks and (b := token[k:]) in self.ranks}
+        self.pairs, self.merged = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        order = np.argsort(self.pairs)
+        self.pairs, self.merged = self.pairs[order], self.merged[order]
         self.cache: dict[bytes, tuple[str, tuple[int, ...]]] = {}
 
-    def tokens(self, piece: bytes) -> tuple[str, tuple[int, ...]]:
-        """The piece's ids, also as text."""
-        got = self.cache.get(piece)
-        if got is None:
-            own = self.ranks.get(piece)
-            ids = (own,) if own is not None else tuple(self._merge(piece) if len(piece) <= LONG_PIECE else self._merge_long(piece))
-            got = (" ".join(map(str, ids)), ids)
-            if len(piece) <= LONG_PIECE:
-                if len(self.cache) >= CACHED_PIECES:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
-
-    def _merge(self, piece: bytes) -> list[int]:
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        none = 1 << 40
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs:
-            best = min(pairs)
-            if best == none:
-                break
-            i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
+    def tokens(self, pieces: list[bytes]) -> list[tuple[str, tuple[int, ...]]]:
+        """Each piece's ids, also as text."""
+        cache, names = self.cache, self.names
+        if len(cache) >= CACHED_PIECES:
+            cache.clear()
+        found = [cache.get(p) for p in pieces]
+        fresh = [k for k, f in enumerate(found) if f is None]
+        short = []
+        for k in fresh:
+            own = self.ranks.get(pieces[k])
+            if own is not None:
+                found[k] = (names[own], (own,))
+            elif len(pieces[k]) > LONG_PIECE:
+                ids = self._merge_long(pieces[k])
+                found[k] = (" ".join(map(names.__getitem__, ids)), tuple(ids))
+            else:
+                short.append(k)
+        for k, ids in zip(short, self._merge([pieces[k] for k in short]), strict=True):
+            found[k] = (" ".join(map(names.__getitem__, ids)), tuple(ids))
+        for k in fresh:
+            if len(pieces[k]) <= LONG_PIECE and len(cache) < CACHED_PIECES:
+                cache[pieces[k]] = found[k]
+        return found
+
+    def _together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two tokens make, NO_TOKEN if none."""
+        wanted = left * len(self.vocabulary) + right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.merged[at], NO_TOKEN)
+
+    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of many pieces at once: every round merges the leftmost pair of the lowest rank in each piece that has one."""
+        out: list[list[int]] = [[]] * len(pieces)
+        if not pieces or not len(self.pairs):
+            return [self.bytes[list(p)].tolist() for p in pieces]
+        sizes = np.array([len(p) for p in pieces])
+        ids, owner = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)], np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(ids), NO_TOKEN)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inside] = self._together(ids[inside], ids[inside + 1])
+        while len(ids):
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            sizes = np.diff(np.append(heads, len(ids)))
+            lowest = np.minimum.reduceat(rank, heads)
+            done = lowest == NO_TOKEN
+            if done.any():
+                flat, ends = ids[np.repeat(done, sizes)].tolist(), np.cumsum(sizes[done]).tolist()
+                for k, a, b in zip(owner[heads[done]].tolist(), [0, *ends], ends, strict=False):
+                    out[k] = flat[a:b]
+                stay = np.repeat(~done, sizes)
+                ids, owner, rank = ids[stay], owner[stay], rank[stay]
+                sizes, lowest = sizes[~done], lowest[~done]
+            at = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])] if len(at) else at
+            ids[at] = rank[at]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            place = np.cumsum(stay) - 1
+            ids, owner, rank, at = ids[stay], owner[stay], rank[stay], place[at]
+            rank[at] = NO_TOKEN
+            for left in (at[(at + 1 < len(ids))], at[at > 0] - 1):
+                left = left[owner[left] == owner[left + 1]]
+                rank[left] = self._together(ids[left], ids[left + 1])
+        return out
 
     def _merge_long(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
@@ -202,7 +247,7 @@ def encode(texts: pa.Array, path: str) -> tuple[list[np.ndarray], list[str], lis
     ends = np.append(starts[1:], len(data))
     index, inverse = W.distinct_spans(data, starts, ends)
     raw = data.tobytes()
-    found = [bpe.tokens(raw[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+    found = bpe.tokens([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
     spelt, sizes = [f[0] for f in found], np.fromiter((len(f[1]) for f in found), np.int64, len(found))
     flat = np.fromiter((i for f in found for i in f[1]), np.int64, int(sizes.sum()))
     at = np.cumsum(sizes) - sizes

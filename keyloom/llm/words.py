@@ -35,12 +35,16 @@ _KEY = b"keyloom spans"
 _TAILS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for every span."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on, as numbers; zeros follow the end."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
-    lengths = ends - starts
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for every span."""
+    eight, lengths = eights(data), ends - starts
     out = mix(lengths.astype(U))
     for k in range(0, LONG_SPAN, 8):
         at = np.flatnonzero((lengths > k) & (lengths <= LONG_SPAN))
@@ -52,16 +56,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every span has the bytes of the span numbered other[i]."""
+    at = np.flatnonzero(other != np.arange(len(other)))
+    to = other[at]
+    lengths = ends[at] - starts[at]
+    if not np.array_equal(lengths, ends[to] - starts[to]):
+        return False
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        if not np.array_equal(data[starts[at[i]] : ends[at[i]]], data[starts[to[i]] : ends[to[i]]]):
+            return False
+    eight = eights(data)
+    for k in range(0, LONG_SPAN, 8):
+        some = (lengths > k) & (lengths <= LONG_SPAN)
+        at, to, lengths = at[some], to[some], lengths[some]
+        if not len(at):
+            break
+        if ((eight[starts[at] + k] ^ eight[starts[to] + k]) & _TAILS[np.minimum(lengths - k, 8)]).any():
+            return False
+    return True
+
+
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of one span of every kind, and for each span its kind's number. Equal means equal bytes."""
     _, index, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    lengths, first = ends - starts, index[inverse]
-    same = np.array_equal(lengths, lengths[first])
-    if same:
-        before = np.cumsum(lengths) - lengths
-        step = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-        same = np.array_equal(data[np.repeat(starts, lengths) + step], data[np.repeat(starts[first], lengths) + step])
-    if same:
+    if equal_spans(data, starts, ends, index[inverse]):
         return index, inverse
     # Two different spans share a hash: number them by their bytes.
     raw, numbers, firsts = data.tobytes(), {}, []

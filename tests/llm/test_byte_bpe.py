@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pyarrow as pa
@@ -81,3 +82,21 @@ def test_structured_pieces_are_told_apart(library, n):
     ids, _, _ = B.encode(pa.array(pair), B.vocabulary())
     assert [i.tolist() for i in ids] == [library.encode_ordinary(t) for t in pair]
     assert [B.decode(i, B.vocabulary()).decode() for i in ids] == pair
+
+
+def test_pieces_merged_side_by_side_as_alone(library):
+    """Many pieces of one slice, one after another, and with a cache that overflows, give the library's ids."""
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("abcdeinorst ABé数0123-'") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    want = [library.encode_ordinary(p) for p in pieces]
+    bpe = B.Merger(B.vocabulary())
+    for size, cached in ((3000, B.CACHED_PIECES), (7, 50)):
+        B.CACHED_PIECES, kept = cached, B.CACHED_PIECES
+        try:
+            for k in range(0, len(pieces), size):
+                got = bpe._merge([p.encode() for p in pieces[k : k + size]])
+                assert got == [library._encode_single_piece(p.encode()) for p in pieces[k : k + size]]
+                ids, _, _ = B.encode(pa.array(pieces[k : k + size]), B.vocabulary())
+                assert [i.tolist() for i in ids] == want[k : k + size]
+        finally:
+            B.CACHED_PIECES = kept

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -103,3 +104,16 @@ def test_rows_whose_keys_collide_are_told_apart(monkeypatch):
     got = dict(zip(Q.ADDED.names, Q.judge(pa.array(texts), Q.Rules()), strict=True))
     want = brute(texts[0])
     assert {k: got[k][0].as_py() for k in want} == want
+
+
+def test_distinct_spans_are_told_by_bytes():
+    """Spans that hashes confuse, of any length and with zeros at their ends, get the numbers that a dict gives."""
+    rng = np.random.default_rng(3)
+    pieces = [bytes(rng.integers(0, 2, int(n), np.uint8)) for n in rng.integers(0, 90, 600)] + [b"a" * 200, b"a" * 199 + b"b", b"", b"\0", b"\0\0"]
+    ends = np.cumsum([len(p) for p in pieces])
+    data, starts = np.frombuffer(b"".join(pieces), np.uint8), np.append(0, ends[:-1])
+    for hashes in (Q.W.span_hashes, lambda d, a, b: (b - a).astype(Q.W.U)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(Q.W, "span_hashes", hashes)
+            index, inverse = Q.W.distinct_spans(data, starts, ends)
+        assert [pieces[index[k]] for k in inverse] == pieces and len(index) == len(set(pieces))
