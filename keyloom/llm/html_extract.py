@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.shared import BROADCAST_BYTES, written
+from keyloom.llm.shared import BROADCAST_BYTES, scratch, written
 
 SHARE, SUPPORT, CONSTANT = 0.1, 8, 0.8
 #: A menu: at least this many links a page, and at least this share of the node's characters in links.
@@ -559,7 +559,9 @@ def html_extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of pages (which has url and html) with text and n_chars; such input columns are replaced."""
     passed = [c for c in keep if c.lower() not in ("text", "n_chars")]
     rows = with_host(pages)
-    wrappers = written(induce(rows), "html-wrappers")
+    with scratch() as made:
+        wrappers = written(induce(rows), "html-wrappers")
+        made.remove(wrappers)
     rows = with_wrappers(rows.select(*passed, "__host", F.col("html").alias("__html")), wrappers)
     rows = rows.select(*passed, "__html", F.col("__host").alias("__of"), *[wrappers[c].alias(f"__{c}") for c in (*WRAPPER.names[1:], "fixed")])
     schema = T.StructType([rows.schema[c] for c in passed] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

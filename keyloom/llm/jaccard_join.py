@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from keyloom.llm import words as W
 from keyloom.llm.arrowmap import buffers, slices
 from keyloom.llm.components import components
-from keyloom.llm.shared import BROADCAST_BYTES, removed, written
+from keyloom.llm.shared import BROADCAST_BYTES, removed, scratch, written
 
 SHINGLE = 5
 #: Similar: UNION_PARTS * intersection >= LEAST_PARTS * union.
@@ -436,6 +436,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     unnamed = F.col("doc_id").isNull()
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("unnamed"), "text")).alias("doc_id"), "text", unnamed.alias("unnamed"))
+    with scratch() as made:
+        first, sets, labels = labelled(docs)
+        labels = written(labels, "components")
+        for df in (first, sets, labels):
+            made.remove(df)
+    members = first.where("block IS NULL").select("doc_id", "unnamed", "n_shingles", "f1", "f2")
+    named = sets.join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    out = members.join(named, ["f1", "f2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if members.where("unnamed").isEmpty():
+        return out.select("doc_id", "n_shingles", "component_id")
+    # A component's name is the smallest doc_id proper in it.
+    names = out.where("NOT unnamed").groupBy("component_id").agg(F.min("doc_id").alias("name"))
+    return out.join(names, "component_id", "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
+
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of the members with the tasks' histograms, of the different sets, and of the nodes that link, with components."""
     first = written(fingerprints(docs), "members")
     members = first.where("block IS NULL").select("doc_id", "unnamed", "n_shingles", "f1", "f2")
     histogram = summed(first.where("block IS NOT NULL").select("block", "counts"))
@@ -464,14 +481,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     # Rows of one doc_id are one document: its sets are linked to each other.
     twice = sets_by_id(members, sets)
-    labels = components(links if twice is None else links.unionByName(twice))
-    named = sets.join(labels, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    out = members.join(named, ["f1", "f2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    if members.where("unnamed").isEmpty():
-        return out.select("doc_id", "n_shingles", "component_id")
-    # A component's name is the smallest doc_id proper in it.
-    names = out.where("NOT unnamed").groupBy("component_id").agg(F.min("doc_id").alias("name"))
-    return out.join(names, "component_id", "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
+    return first, sets, components(links if twice is None else links.unionByName(twice))
 
 
 def sets_by_id(members: DataFrame, sets: DataFrame) -> DataFrame | None:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import BROADCAST_BYTES, new_path, written
+from keyloom.llm.shared import BROADCAST_BYTES, new_path, removed, written
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,9 @@ def update_ledger(versions: DataFrame, text: str, path: str, rules: tuple[Rule,
     found_spans(rows.where(F.size("__todo") > 0), rules).write.mode("append").parquet(f"{path}/found")
     new = blobs.where(F.size("__todo") > 0)
     new.select("blob", F.transform("__todo", lambda k: F.element_at(F.array(*[F.lit(r.version) for r in rules]), k + 1)).alias("rule_versions")).write.mode("append").parquet(f"{path}/scanned")
-    return new.count()
+    count = new.count()
+    removed(blobs)
+    return count
 
 
 def findings(spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+#: Tables written within the scratch() blocks that are open.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written in the block go at its end, but for those that are taken out of the list that it gives."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        removed(*_open.pop())
+
+
 def removed(*frames: DataFrame) -> None:
     """Delete the files of tables from written() that nothing reads any more."""
     for df in frames:
