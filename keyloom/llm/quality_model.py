@@ -66,23 +66,21 @@ def contexts(texts: DataFrame) -> np.ndarray:
     """Word vectors: for each vocabulary row the sum of the index vectors around its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((VOCABULARY, WIDTH), np.float64)
+        index, total = index_vectors().astype(np.int8), np.zeros((VOCABULARY, WIDTH), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = tokens(part.column(0))
-                owner = W.owners(bounds)
+                owner, own = W.owners(bounds), index[ids]
+                # What stands around each word, then added up by word. Few small numbers: a byte holds them.
+                around = np.zeros_like(own)
                 for k in range(1, WINDOW + 1):
-                    near = owner[k:] == owner[:-k]
-                    left, right = ids[:-k][near], ids[k:][near]
-                    # Occurrences of a pair once: counted, then weighted.
-                    pair, times = np.unique(left * VOCABULARY + right, return_counts=True)
-                    left, right = pair // VOCABULARY, pair % VOCABULARY
-                    for here, there in ((left, right), (right, left)):
-                        order = np.argsort(here, kind="stable")
-                        here, vectors = here[order], index[there[order]] * times[order, None]
-                        rows, at = np.unique(here, return_index=True)
-                        if len(rows):
-                            total[rows] += np.add.reduceat(vectors, at, axis=0)
+                    near = (owner[k:] == owner[:-k])[:, None]
+                    around[:-k] += own[k:] * near
+                    around[k:] += own[:-k] * near
+                order = np.argsort(ids, kind="stable")
+                rows, at = np.unique(ids[order], return_index=True)
+                if len(rows):
+                    total[rows] += np.add.reduceat(around[order], at, axis=0, dtype=np.int64)
         touched = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array([r.tobytes() for r in total[touched].astype(np.int32)], pa.binary())], names=["row", "sum"])
 
